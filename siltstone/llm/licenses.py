@@ -13,6 +13,7 @@ alike; extra columns are not read; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -120,8 +121,9 @@ def signatures() -> list[Signature]:
         ("lgpl", "lesser general", r"(?:gnu )?lesser general public license"),
         ("agpl", "affero", r"(?:gnu )?affero general public license"),
         ("apache", "apache", r"apache(?: software)? license"),
-        ("mit", "mit", r"mit license|mit x11 license|mit licence"),
-        ("mit-0", "mit", r"mit no attribution license|mit no attribution"),
+        ("mit", "mit lic", r"mit license|mit licence"),
+        ("mit", "mit x11", r"mit x11 license"),
+        ("mit-0", "mit no", r"mit no attribution license|mit no attribution"),
         ("x11", "x11", r"x11 license"),
         ("bsd-2-clause", "bsd", r"(?:simplified|freebsd|2 clause|two clause) bsd license|bsd 2 clause(?: license)?"),
         ("bsd-3-clause", "bsd", r"(?:new|modified|revised|3 clause|three clause) bsd license|bsd 3 clause(?: license)?"),
@@ -145,7 +147,8 @@ def signatures() -> list[Signature]:
         ("cc0", "cc0", r"cc0(?: 1 0)?(?: universal)?"),
         ("cc0", "creative commons", r"creative commons zero"),
         ("public-domain", "public domain", r"(?:dedicated to|released into|placed in|in) the public domain"),
-        ("beerware", "beer", r"beer ?ware license|beerware"),
+        ("beerware", "beerware", r"beerware(?: license)?"),
+        ("beerware", "beer ware", r"beer ware license"),
         ("sspl", "server side", r"server side public license"),
         ("busl", "business source", r"business source license"),
         ("elastic", "elastic", r"elastic license"),
@@ -205,16 +208,25 @@ def _hits(norm: Column, pattern: Column) -> Column:
 
 
 def _literal(rules: list[Signature]) -> Column:
-    return F.array(
-        *[
-            F.struct(F.lit(r.label).alias("label"), F.lit(f" {r.keyword}").alias("keyword"), F.lit(f" (?:{r.pattern})(?= )").alias("pattern"), F.lit(r.priority).alias("priority"), F.lit(r.weight).alias("weight"), F.lit(i).alias("rule"))
-            for i, r in enumerate(rules)
-        ]
-    )
+    """The rules as one array; parsed from JSON, as one constant is planned faster than a tree of them."""
+    rows = [{"label": r.label, "keyword": f" {r.keyword}", "pattern": f" (?:{r.pattern})(?= )", "priority": r.priority, "weight": r.weight, "rule": i} for i, r in enumerate(rules)]
+    return F.from_json(F.lit(json.dumps(rows)), "array<struct<label:string,keyword:string,pattern:string,priority:int,weight:double,rule:int>>")
+
+
+def _gate(keywords: list[str]) -> str:
+    """One regex whose group is the longest keyword at the start of a word, branching on first letters.
+
+    It looks ahead only, so keywords that overlap are all found.
+    """
+    by: dict[str, list[str]] = {}
+    for k in sorted(set(keywords), key=lambda k: (k[0], -len(k), k)):
+        by.setdefault(k[0], []).append(k[1:])
+    return "(?=( (?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in by.items()) + ")))"
 
 
-def _detections(norm: Column, rules: list[Signature]) -> Column:
-    live = F.filter(_literal(rules), lambda r: F.contains(norm, r["keyword"]))
+def _detections(norm: Column, keys: Column, rules: list[Signature]) -> Column:
+    """keys: the distinct keywords found in norm, the longest at each place."""
+    live = F.filter(F.filter(_literal(rules), lambda r: F.exists(keys, lambda k: F.startswith(k, r["keyword"]))), lambda r: F.rlike(norm, r["pattern"]))
     per_rule = F.transform(
         live,
         lambda r: F.transform(
@@ -250,18 +262,18 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """doc_id, n_words, base (places of the base phrases: start, label) and detections (start, end, label, weight)."""
     rules = signatures() if rules is None else rules
     phrases = BASE_PHRASES if phrases is None else phrases
-    keywords = sorted({r.keyword for r in rules} | set(phrases))
     # one pass of one regex finds whether any keyword is there at all
-    gate = " (?:" + "|".join(keywords) + ")"
+    gate = _gate([r.keyword for r in rules] + list(phrases))
     base_pattern = " (?:" + "|".join(sorted(phrases, key=len, reverse=True)) + ")(?= )"
     base_of = F.create_map(*[F.lit(x) for kv in phrases.items() for x in kv])
     df = text_columns(docs, id_col, text_col).select("doc_id", normalized(F.col("text")).alias("norm"))
     norm = F.col("norm")
-    gated = F.rlike(norm, F.lit(gate))
+    df = df.select("doc_id", "norm", F.array_distinct(F.regexp_extract_all(norm, F.lit(gate), F.lit(1))).alias("keys"))
     df = df.select(
         "doc_id",
+        "keys",
         F.when(norm == "  ", F.lit(0).cast("long")).otherwise(_spaces(norm) - 1).cast("long").alias("n_words"),
-        F.when(gated, norm).alias("norm"),
+        F.when(F.size("keys") > 0, norm).alias("norm"),
     )
     names = F.regexp_extract_all(norm, F.lit(base_pattern), F.lit(0))
     places = _hits(norm, F.lit(base_pattern))
@@ -269,5 +281,5 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "doc_id",
         "n_words",
         F.when(norm.isNotNull(), F.zip_with(places, names, lambda p, n: F.struct(p["start"].alias("start"), p["end"].alias("end"), F.element_at(base_of, F.ltrim(n)).alias("label")))).alias("base"),
-        F.when(norm.isNotNull(), _unsuppressed(_detections(norm, rules))).alias("detections"),
+        F.when(norm.isNotNull(), _unsuppressed(_detections(norm, F.col("keys"), rules))).alias("detections"),
     )
