@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontam import contamination
 from .licenses import license_scan
+from .substrings import substring_digests
 from .urls import Rule, url_filter
 
 #: The rules of the URL contract.
@@ -47,6 +48,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_digests(table(spark, sf_dir, "documents"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -54,6 +59,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op4_license_scan": op4_license_scan,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_url_filter": op7_url_filter,
 }
 
@@ -82,6 +88,22 @@ WITH d AS (
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN nh USING (doc_id) LEFT JOIN ni USING (doc_id)
+""",
+    "op6_substring_dedup": r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), p AS (
+  SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS s FROM d WHERE len(w) >= 35
+), k AS (
+  SELECT doc_id, s, sha256(array_to_string(list_slice(w, s, s + 34), ' ')) AS h FROM p
+), r AS (
+  SELECT doc_id, s FROM k JOIN (SELECT h FROM k GROUP BY h HAVING count(*) > 1) USING (h)
+), c AS (
+  SELECT doc_id, list(DISTINCT q) AS gone FROM (SELECT doc_id, unnest(range(s, s + 35)) AS q FROM r) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+  sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(gone, i)) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN c USING (doc_id)
 """,
     "op7_url_filter": r"""
 WITH cut AS (
