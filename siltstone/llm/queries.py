@@ -12,6 +12,7 @@ from .decontam import contamination
 from .fingerprints import edit_likeness, packed, resemblance
 from .licenses import license_scan
 from .neardup import near_duplicates
+from .quality import CUT, fit_ranking, quality_scores
 from .substrings import substring_digests
 from .urls import Rule, url_filter
 
@@ -32,6 +33,18 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def held_out(doc_id):
+    """Rows whose labels are never learnt from."""
+    return F.crc32(doc_id.cast("string")) % 5 == 0
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id")))
+    scored = quality_scores(docs.select("doc_id", "text"), fit_ranking(docs, labels))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= CUT).cast("int").alias("predicted"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan(table(spark, sf_dir, "documents"))
     starts = F.transform(F.coalesce(F.col("base"), F.array()), lambda b: b["start"])
@@ -77,6 +90,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op3_quality": op3_quality,
     "op4_license_scan": op4_license_scan,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_url_filter": op7_url_filter,
