@@ -81,7 +81,8 @@ def chunks(offs: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, in
 class Words:
     """Word spans of the documents in one chunk."""
 
-    def __init__(self, data: np.ndarray, offs: np.ndarray, member: np.ndarray, lower: bool = False):
+    def __init__(self, data: np.ndarray, offs: np.ndarray, member: np.ndarray, lower: bool = False, cuts: np.ndarray | None = None):
+        """cuts: a 256 x 256 table of byte pairs between which a word ends and another begins."""
         self.data = LOWER[data] if lower else data
         self.offs = offs
         inside = member[self.data]
@@ -90,6 +91,10 @@ class Words:
         last[:-1] &= ~inside[1:]
         edges = offs[:-1][offs[:-1] < len(data)]
         first[edges] = inside[edges]
+        if cuts is not None and len(data):
+            cut = cuts[self.data[:-1], self.data[1:]]
+            first[1:] |= cut
+            last[:-1] |= cut
         ends = offs[1:][offs[1:] > 0] - 1
         last[ends] = inside[ends]
         self.inside = inside
