@@ -37,6 +37,8 @@ from .text import ASCII_LOWER, ASCII_UPPER, IS_SPACE_WORD, Words, chunks, flat,
 BANDS, ROWS = 40, 6
 #: Members compared at once in the second round.
 BLOCK = 256
+#: Buckets up to this size hand their pairs on; larger ones confirm them on the spot.
+SMALL = 32
 _SHINGLE = 0xE7037ED1A0B428DB
 _rng = np.random.default_rng(20240607)
 _A = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -132,14 +134,7 @@ def _confirm(percent: int):
             a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             keep = np.zeros(len(a), bool)
             for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                x, y = x.as_py(), y.as_py()
-                n, m = len(x) // 6, len(y) // 6
-                if 100 * min(n, m) < percent * max(n, m):
-                    continue
-                both = np.concatenate([_unpacked(x), _unpacked(y)])
-                both.sort(kind="stable")
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep[k] = 100 * common >= percent * (n + m - common)
+                keep[k] = _shares(_unpacked(x.as_py()), _unpacked(y.as_py()), percent)
             yield pa.RecordBatch.from_arrays([pa.array(a[keep], pa.int64()), pa.array(b[keep], pa.int64())], names=["a", "b"])
 
     return run
@@ -159,36 +154,68 @@ def _alike(threshold: float):
     return run
 
 
-def _cross(threshold: float):
+def _shares(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets meet 100 * intersection >= percent * union."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
+def _cross(threshold: float, percent: int, confirm: bool):
     """Second round: pairs of different components in each block pair of a bucket.
 
-    Columns: h, ri, cj, band, node, comp, outside, role (1 to be met, 2 asks, 3 both), sig.
-    A pair comes out of the first band it shares only.
+    Columns: h, ri, cj, band, node, comp, outside, role (1 to be met, 2 asks,
+    3 both), sig, and with `confirm` the full set. A pair comes out of the
+    first band it shares only. With `confirm` only links come out, and of a
+    member's links to one component the first that is found.
     """
 
-    def pairs(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    def pairs(rows: list[tuple]) -> tuple[list[int], list[int]]:
         band = rows[0][3]
         node, comp = np.array([r[4] for r in rows]), np.array([r[5] for r in rows])
         outside, role = np.array([r[6] for r in rows]), np.array([r[7] for r in rows])
         sig = np.frombuffer(b"".join(r[8] for r in rows), np.uint8).reshape(len(rows), -1)
         rowsig, bandsig = sig[:, : BANDS * ROWS], np.ascontiguousarray(sig[:, BANDS * ROWS :]).view("<u4")
         met = np.flatnonzero(role & 1)
+        sets: dict[int, np.ndarray] = {}
+
+        def members(k: int) -> np.ndarray:
+            if k not in sets:
+                sets[k] = _unpacked(rows[k][9])
+            return sets[k]
+
         left, right = [], []
         for q in np.flatnonzero(role & 2).tolist():
             # of two members outside, the smaller one asks
             ok = met[(comp[met] != comp[q]) & (~outside[met] | (node[met] > node[q]))]
-            ok = ok[(rowsig[ok] == rowsig[q]).sum(axis=1) >= threshold * BANDS * ROWS] if len(ok) else ok
-            if len(ok):
-                ok = ok[np.argmax(bandsig[ok] == bandsig[q], axis=1) == band]
-                left.append(np.full(len(ok), node[q]))
-                right.append(node[ok])
-        none = np.zeros(0, np.int64)
-        return np.concatenate([none, *left]), np.concatenate([none, *right])
+            if not len(ok):
+                continue
+            agree = (rowsig[ok] == rowsig[q]).sum(axis=1)
+            near = agree >= threshold * BANDS * ROWS
+            ok, agree = ok[near], agree[near]
+            if not len(ok):
+                continue
+            first = np.argmax(bandsig[ok] == bandsig[q], axis=1) == band
+            ok, agree = ok[first], agree[first]
+            if confirm:
+                linked: set[int] = set()
+                for k in ok[np.argsort(-agree, kind="stable")].tolist():
+                    if comp[k] not in linked and _shares(members(q), members(k), percent):
+                        linked.add(comp[k])
+                        left.append(int(node[q]))
+                        right.append(int(node[k]))
+            else:
+                left += [int(node[q])] * len(ok)
+                right += node[ok].tolist()
+        return left, right
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(rows: list[tuple]) -> pa.RecordBatch:
             a, b = pairs(rows)
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(map(min, a, b), pa.int64()), pa.array(map(max, a, b), pa.int64())], names=["a", "b"])
 
         key, rows = None, []
         for batch in batches:
@@ -276,10 +303,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = rest.withColumns({"cj": F.pmod(F.xxhash64("node"), F.col("mb")).cast("int"), "ri": F.pmod(F.xxhash64("node", F.lit(1)), F.col("rb")).cast("int")})
     met = F.transform(F.sequence(F.lit(0), F.col("rb") - 1), lambda r: F.struct(r.alias("ri"), F.col("cj").alias("cj"), F.when(F.col("outside") & (r == F.col("ri")), 3).otherwise(1).alias("role")))
     ask = F.transform(F.filter(F.sequence(F.lit(0), F.col("mb") - 1), lambda c: F.col("outside") & (c != F.col("cj"))), lambda c: F.struct(F.col("ri").alias("ri"), c.alias("cj"), F.lit(2).alias("role")))
-    dealt = rest.select("h", "band", "node", "comp", "outside", F.explode(F.concat(met, ask)).alias("k")).join(sigs, "node").select("h", "k.ri", "k.cj", "band", "node", "comp", "outside", "k.role", "sig")
+    dealt = rest.select("h", "band", "m", "node", "comp", "outside", F.explode(F.concat(met, ask)).alias("k")).join(sigs, "node").select("h", "k.ri", "k.cj", "band", "node", "comp", "outside", "k.role", "sig", "m")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    crossed = dealt.repartition(n, "h", "ri", "cj").sortWithinPartitions("h", "ri", "cj").mapInArrow(_cross(threshold), "a long, b long").distinct()
-    second = links(crossed, "links")
+
+    def crossed(rows: DataFrame, confirm: bool) -> DataFrame:
+        return rows.drop("m").repartition(n, "h", "ri", "cj").sortWithinPartitions("h", "ri", "cj").mapInArrow(_cross(threshold, percent, confirm), "a long, b long").distinct()
+
+    # a small bucket's pairs are few for each member; in a large one the sets travel, so no pair leaves its task unconfirmed
+    second = links(crossed(dealt.where(F.col("m") <= SMALL), False), "links").unionByName(crossed(dealt.where(F.col("m") > SMALL).join(sets, "node").select(*dealt.columns, "members"), True))
 
     every = connected_components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(second))
     labelled = groups.join(every, "node", "left").select("low", "high", F.coalesce("comp", "node").alias("comp"))
