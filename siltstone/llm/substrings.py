@@ -37,7 +37,7 @@ _SPAN = "array<struct<start:long,end:long>>"
 #: Odd multipliers of the two window hashes.
 _DEAL, _TELL = 0xD1342543DE82EF95, 0xA0761D6478BD642F
 #: A batch of windows; positions in it fit the packing.
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 8 << 20
 
 
 def _pack(at: np.ndarray) -> bytes:
