@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,9 @@ from .fingerprints import edit_likeness, packed, resemblance
 from .licenses import license_scan
 from .neardup import near_duplicates
 from .quality import CUT, fit_ranking, quality_scores
+from .sentencepiece import decoded, encoded
 from .substrings import substring_digests
+from .tokenfiles import read_tokens, write_tokens
 from .urls import Rule, url_filter
 
 #: The rules of the URL contract.
@@ -63,6 +66,20 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def vocabulary(name: str) -> str:
+    """The place of a public vocabulary file; another folder can be named in SILTSTONE_TOKENIZERS."""
+    folder = os.environ.get("SILTSTONE_TOKENIZERS")
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_tokens(spark, write_tokens(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_digests(table(spark, sf_dir, "documents"))
 
@@ -71,6 +88,19 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = vocabulary("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decoded(encoded(docs, model), model)
+    return found.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.col("ids"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = edit_likeness(table(spark, sf_dir, "documents"))
     return found.select(
@@ -92,8 +122,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op3_quality": op3_quality,
     "op4_license_scan": op4_license_scan,
+    "op5_token_files": op5_token_files,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_url_filter": op7_url_filter,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_fingerprints": op9_fingerprints,
     "op10_minhash": op10_minhash,
 }
