@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontam import contamination
 from .fingerprints import edit_likeness, packed, resemblance
+from .htmltext import extracted
 from .licenses import license_scan
 from .neardup import near_duplicates
 from .quality import CUT, fit_ranking, quality_scores
@@ -36,6 +37,11 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extracted(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def held_out(doc_id):
     """Rows whose labels are never learnt from."""
     return F.crc32(doc_id.cast("string")) % 5 == 0
@@ -120,6 +126,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_html_extraction": op2_html_extraction,
     "op3_quality": op3_quality,
     "op4_license_scan": op4_license_scan,
     "op5_token_files": op5_token_files,
