@@ -284,10 +284,10 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     space; texts without repeats stay as they are.
     """
     rows = _with_spans(docs, id_col, text_col, window)
-    place = docs.columns.index(text_col)
+    place, spans_at = docs.columns.index(text_col), len(docs.columns)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = _cutter(place, len(docs.columns))
+        cut = _cutter(place, spans_at)
         for batch in batches:
             texts = batch.column(place).to_pylist()
             spans = batch.column(batch.num_columns - 1)
