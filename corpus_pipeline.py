@@ -17,7 +17,7 @@ from siltstone.llm.decontam import decontaminated
 from siltstone.llm.neardup import near_duplicates
 from siltstone.llm.quality import CUT, fit_ranking, quality_scores
 from siltstone.llm.queries import held_out, vocabulary
-from siltstone.llm.sentencepiece import decoded, encoded
+from siltstone.llm.sentencepiece import encoded
 from siltstone.llm.substrings import without_repeats
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -57,8 +57,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and the text that they decode to (operator 8)."""
     model = vocabulary("piece_bpe_32k.model")
-    coded = decoded(encoded(docs.select(*COLUMNS), model).drop("text"), model, text_col="text")
-    return coded.select(*COLUMNS, "ids", F.size("ids").cast("long").alias("n_tokens"))
+    coded = encoded(docs.select(*COLUMNS), model, decoded_col="decoded")
+    return coded.select("doc_id", F.col("decoded").alias("text"), "lang", "source", "n_chars", "ids", F.size("ids").cast("long").alias("n_tokens"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
