@@ -77,6 +77,7 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     bits = max(1, int(t.max()).bit_length())
     width = max(1, min(62 // bits, 8))
     key = t.astype(np.int64)
+    width = min(width, n)
     for j in range(1, width):
         key = key << bits
         key[: n - j] |= t[j:]

@@ -15,7 +15,7 @@ from .htmltext import extracted
 from .licenses import license_scan
 from .neardup import near_duplicates
 from .quality import CUT, fit_ranking, quality_scores
-from .sentencepiece import decoded, encoded
+from .sentencepiece import encoded
 from .substrings import substring_digests
 from .tokenfiles import read_tokens, write_tokens
 from .urls import Rule, url_filter
@@ -97,7 +97,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = vocabulary("piece_bpe_32k.model")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = decoded(encoded(docs, model), model)
+    found = encoded(docs, model, decoded_col="decoded")
     return found.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -19,6 +19,7 @@ Null and empty texts have no ids. Repeated rows are encoded alike.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,9 @@ from .text import chunks, flat
 from .tokenfiles import gather
 
 SPACE = "▁"
-REMEMBERED = 300_000
+REMEMBERED = 150_000
+#: Text bytes encoded at once; the ids of a text take several times its bytes.
+PASS_BYTES = 1 << 20
 _models: dict[str, Pieces] = {}
 
 
@@ -147,6 +150,38 @@ class StreamingViterbi:
         return [i for part in reversed(ids) for i in part]
 
 
+def segment_ids(pieces: Pieces, text: str) -> list[int]:
+    """Ids of a segment. One that fits the window needs no commits, so its lattice is kept in plain lists."""
+    n = len(text)
+    if n > pieces.longest:
+        decoder = StreamingViterbi(pieces)
+        return decoder.feed(text) + decoder.finish()
+    get, penalty = pieces.scores.get, pieces.penalty
+    hit = get(text)
+    if n == 1:
+        return [hit[1]] if hit else pieces.spelled(text)
+    score, size, ident = [0.0] * (n + 1), [1] * (n + 1), [-1] * (n + 1)
+    for t in range(1, n + 1):
+        top = score[t - 1] + penalty
+        for i in range(t - 1, -1, -1):
+            hit = get(text[i:t])
+            if hit is not None:
+                s = score[i] + hit[0]
+                if s >= top:
+                    top, size[t], ident[t] = s, t - i, hit[1]
+        score[t] = top
+    out: list[int] = []
+    while n:
+        k = ident[n]
+        if k >= 0:
+            out.append(k)
+        else:
+            out += reversed(pieces.spelled(text[n - 1]))
+        n -= size[n]
+    out.reverse()
+    return out
+
+
 def whole_viterbi(pieces: Pieces, text: str) -> list[int]:
     """The same choice with the whole lattice in memory; for tests."""
     best = [(0.0, 0, 0)]
@@ -204,8 +239,7 @@ def encode_column(pieces: Pieces, column: pa.Array) -> tuple[np.ndarray, np.ndar
     for v in coded.dictionary.to_pylist():
         blob = known.get(v)
         if blob is None:
-            decoder = StreamingViterbi(pieces)
-            blob = np.array(decoder.feed(v.decode().replace(" ", SPACE)) + decoder.finish(), "<i4").tobytes()
+            blob = array("i", segment_ids(pieces, v.decode().replace(" ", SPACE))).tobytes()
             if len(v) < 200:
                 known[v] = blob
         blobs.append(blob)
@@ -226,26 +260,36 @@ def decode_column(pieces: Pieces, ids: np.ndarray, sizes: np.ndarray) -> pa.Arra
     return pa.array(texts, pa.string())
 
 
-def encoded(docs: DataFrame, model: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """The rows of docs with their ids (array of int); null texts have none."""
+def encoded(docs: DataFrame, model: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
+    """The rows of docs with their ids (array of int); null texts have none.
+
+    With decoded_col also the text that the ids decode to, in the same pass.
+    Columns of docs with these names are replaced.
+    """
+    docs = docs.drop(*[c for c in (ids_col, decoded_col) if c and c != text_col])
     place = docs.columns.index(text_col)
-    kind = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.array().cast("array<int>").alias(ids_col)).schema
+    more = [F.array().cast("array<int>").alias(ids_col)] + ([F.lit("").alias(decoded_col)] if decoded_col else [])
+    kind = docs.select(*[F.col(f"`{c}`") for c in docs.columns], *more).schema
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces.of(model)
         for batch in batches:
             _, offs = flat(batch.column(place))
-            for i, j in chunks(offs):
+            for i, j in chunks(offs, PASS_BYTES):
                 part = batch.slice(i, j - i)
                 ids, sizes, _ = encode_column(pieces, part.column(place))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*batch.schema.names, ids_col])
+                columns, names = [*part.columns, lists], [*batch.schema.names, ids_col]
+                if decoded_col:
+                    columns, names = [*columns, decode_column(pieces, ids, sizes)], [*names, decoded_col]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return docs.mapInArrow(encode, kind)
 
 
 def decoded(df: DataFrame, model: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
-    """The rows of df with the text of their ids."""
+    """The rows of df with the text of their ids; a column of that name is replaced."""
+    df = df.drop(text_col)
     place = df.columns.index(ids_col)
     kind = df.select(*[F.col(f"`{c}`") for c in df.columns], F.lit("").alias(text_col)).schema
 

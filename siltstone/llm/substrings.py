@@ -229,10 +229,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return counted.repartition(buckets, "batch").sortWithinPartitions("batch").mapInArrow(_merge_pass(window), f"doc_id long, text_hash long, spans {_SPAN}").dropDuplicates(["doc_id", "text_hash"])
 
 
-def _with_spans(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
-    spans = repeated_spans(docs, id_col, text_col, window).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("spans").alias("__spans"))
-    key = (F.coalesce(F.col(id_col).cast("long"), F.lit(-1)) == F.col("__id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__hash"))
-    return docs.join(spans, key, "left").drop("__id", "__hash")
+def _with_spans(docs: DataFrame, id_col: str, text_col: str, window: int) -> tuple[DataFrame, str]:
+    """docs with their spans (null without repeats), and the name of that column, which docs doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    tail = next(k for k in range(len(taken) + 1) if not {f"__id{k}", f"__hash{k}", f"__spans{k}"} & taken)
+    names = [f"__id{tail}", f"__hash{tail}", f"__spans{tail}"]
+    spans = repeated_spans(docs, id_col, text_col, window).toDF(*names)
+    key = (F.coalesce(docs[id_col].cast("long"), F.lit(-1)) == spans[names[0]]) & (F.xxhash64(docs[text_col].cast("string")) == spans[names[1]])
+    return docs.join(spans, key, "left").drop(*names[:2]), names[2]
 
 
 def _cutter(text_at: int, spans_at: int):
@@ -256,7 +260,8 @@ def _cutter(text_at: int, spans_at: int):
 
 def substring_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row."""
-    rows = _with_spans(text_columns(docs, id_col, text_col), "doc_id", "text", window).select("doc_id", "text", "__spans")
+    rows, spans = _with_spans(text_columns(docs, id_col, text_col), "doc_id", "text", window)
+    rows = rows.select("doc_id", "text", spans)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = _cutter(1, 2)
@@ -283,7 +288,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Kept runs of words keep their own white space and are joined by one
     space; texts without repeats stay as they are.
     """
-    rows = _with_spans(docs, id_col, text_col, window)
+    rows, spans_col = _with_spans(docs, id_col, text_col, window)
     place, spans_at = docs.columns.index(text_col), len(docs.columns)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,7 +307,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
     names = docs.columns
-    return rows.select(*[F.col(f"`{c}`") for c in names], "__spans").mapInArrow(clean, docs.schema)
+    return rows.select(*[F.col(f"`{c}`") for c in names], spans_col).mapInArrow(clean, docs.schema)
 
 
 def brute_force(documents: list[tuple[int, str | None]], size: int = 35) -> list[tuple[int, int, int, str]]:
