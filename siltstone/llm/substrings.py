@@ -121,7 +121,7 @@ def _hash_pass(size: int, buckets: int):
                     again[order] = many[group]
                 edge = np.flatnonzero(np.diff(bucket, prepend=-1))
                 kinds, where, blobs, places, flags = [], [], [], [], []
-                for lo, hi in zip(edge.tolist(), [*edge[1:].tolist(), len(bucket)], strict=True):
+                for lo, hi in zip(edge.tolist(), np.append(edge[1:], len(bucket)).tolist()[: len(edge)], strict=True):
                     mine = first[lo:hi]
                     kinds.append(0)
                     where.append(int(bucket[lo]))
@@ -210,7 +210,7 @@ def _merge_pass(size: int):
             start, end = start[keep], end[keep]
             owner = np.searchsorted(first, start, side="right") - 1
             edge = np.flatnonzero(np.diff(owner, prepend=-1))
-            spans = [[{"start": int(s - first[o]), "end": int(e - first[o])} for s, e in zip(start[lo:hi], end[lo:hi], strict=True)] for lo, hi, o in zip(edge, [*edge[1:], len(owner)], owner[edge], strict=True)]
+            spans = [[{"start": int(s - first[o]), "end": int(e - first[o])} for s, e in zip(start[lo:hi], end[lo:hi], strict=True)] for lo, hi, o in zip(edge, np.append(edge[1:], len(owner))[: len(edge)], owner[edge], strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys[owner[edge]], pa.int64()), pa.array(texts[owner[edge]], pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
                 names=["doc_id", "text_hash", "spans"],
