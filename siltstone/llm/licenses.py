@@ -33,7 +33,7 @@ BASE_PHRASES = {
 @dataclass(frozen=True)
 class Signature:
     label: str
-    keyword: str  # a document without it can't match
+    keyword: str  # a document without it can't match; "a|b" if one of several must be there
     pattern: str  # over words joined by single spaces
     priority: int  # 0 identifier or full grant, 1 name with version, 2 name, 3 hint
     weight: float  # how sure a detection is
@@ -70,11 +70,11 @@ def signatures() -> list[Signature]:
     out: list[Signature] = []
     # Families with versions: label stem, keyword, names, versions.
     for stem, keyword, names, versions in (
-        ("gpl", "general public", r"(?:gnu )?general public license|gnu gpl", ("1.0", "2.0", "3.0")),
+        ("gpl", "general public|gnu gpl", r"(?:gnu )?general public license|gnu gpl", ("1.0", "2.0", "3.0")),
         ("lgpl", "lesser general", r"(?:gnu )?lesser general public license", ("2.1", "3.0")),
         ("lgpl", "library general", r"(?:gnu )?library general public license", ("2.0",)),
-        ("agpl", "affero", r"(?:gnu )?affero general public license|gnu agpl", ("1.0", "3.0")),
-        ("gfdl", "free documentation", r"(?:gnu )?free documentation license|gnu fdl", ("1.1", "1.2", "1.3")),
+        ("agpl", "affero|gnu agpl", r"(?:gnu )?affero general public license|gnu agpl", ("1.0", "3.0")),
+        ("gfdl", "free documentation|gnu fdl", r"(?:gnu )?free documentation license|gnu fdl", ("1.1", "1.2", "1.3")),
         ("apache", "apache", r"apache(?: software)? license|apache", ("1.0", "1.1", "2.0")),
         ("mpl", "mozilla", r"mozilla public license", ("1.0", "1.1", "2.0")),
         ("epl", "eclipse", r"eclipse public license", ("1.0", "2.0")),
@@ -117,7 +117,7 @@ def signatures() -> list[Signature]:
         ]
     # Licenses that have one text or are named without a version.
     for label, keyword, names in (
-        ("gpl", "general public", r"gnu general public license|gnu gpl"),
+        ("gpl", "general public|gnu gpl", r"gnu general public license|gnu gpl"),
         ("lgpl", "lesser general", r"(?:gnu )?lesser general public license"),
         ("agpl", "affero", r"(?:gnu )?affero general public license"),
         ("apache", "apache", r"apache(?: software)? license"),
@@ -129,13 +129,13 @@ def signatures() -> list[Signature]:
         ("bsd-3-clause", "bsd", r"(?:new|modified|revised|3 clause|three clause) bsd license|bsd 3 clause(?: license)?"),
         ("bsd-4-clause", "bsd", r"(?:original|4 clause|four clause) bsd license|bsd 4 clause(?: license)?"),
         ("bsd", "bsd", r"bsd license|bsd style license|bsd licence"),
-        ("0bsd", "bsd", r"bsd zero clause license|0bsd"),
+        ("0bsd", "bsd|0bsd", r"bsd zero clause license|0bsd"),
         ("isc", "isc", r"isc license"),
         ("zlib", "zlib", r"zlib license|zlib libpng license"),
         ("libpng", "libpng", r"libpng license"),
         ("unlicense", "unlicense", r"the unlicense|unlicense"),
-        ("wtfpl", "wtf", r"wtfpl|do what the fuck you want to public license"),
-        ("python-2.0", "python", r"python software foundation license|psf license"),
+        ("wtfpl", "wtf|do what the", r"wtfpl|do what the fuck you want to public license"),
+        ("python-2.0", "python|psf", r"python software foundation license|psf license"),
         ("php", "php", r"php license"),
         ("ruby", "ruby", r"ruby license"),
         ("ncsa", "ncsa", r"ncsa open source license|university of illinois ncsa"),
@@ -154,7 +154,7 @@ def signatures() -> list[Signature]:
         ("elastic", "elastic", r"elastic license"),
         ("commons-clause", "commons clause", r"commons clause"),
         ("llama", "llama", r"llama(?: 2| 3)? community license"),
-        ("openrail", "rail", r"(?:creativeml )?open ?rail(?: m)?(?: license)?"),
+        ("openrail", "openrail|open rail", r"(?:creativeml )?open ?rail(?: m)?(?: license)?"),
     ):
         out += _plain(label, keyword, names)
     # Passages of the license texts themselves.
@@ -166,6 +166,7 @@ def signatures() -> list[Signature]:
         ("zlib", "express or implied", r"this software is provided as is without any express or implied warranty in no event will the authors be held liable"),
         ("gpl", "free software", r"this program is free software you can redistribute it and or modify"),
         ("lgpl", "free software", r"this library is free software you can redistribute it and or modify"),
+        # this sentence stands in notices of MPL 1.1 and CDDL too, so here the keyword is part of the rule
         ("apache-2.0", "apache", r"you may not use this (?:file|work) except in compliance with the license"),
         ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain"),
         ("wtfpl", "what the fuck", r"you just do what the fuck you want to"),
@@ -209,8 +210,8 @@ def _hits(norm: Column, pattern: Column) -> Column:
 
 def _literal(rules: list[Signature]) -> Column:
     """The rules as one array; parsed from JSON, as one constant is planned faster than a tree of them."""
-    rows = [{"label": r.label, "keyword": f" {r.keyword}", "pattern": f" (?:{r.pattern})(?= )", "priority": r.priority, "weight": r.weight, "rule": i} for i, r in enumerate(rules)]
-    return F.from_json(F.lit(json.dumps(rows)), "array<struct<label:string,keyword:string,pattern:string,priority:int,weight:double,rule:int>>")
+    rows = [{"label": r.label, "keywords": [f" {k}" for k in r.keyword.split("|")], "pattern": f" (?:{r.pattern})(?= )", "priority": r.priority, "weight": r.weight, "rule": i} for i, r in enumerate(rules)]
+    return F.from_json(F.lit(json.dumps(rows)), "array<struct<label:string,keywords:array<string>,pattern:string,priority:int,weight:double,rule:int>>")
 
 
 def _gate(keywords: list[str]) -> str:
@@ -226,7 +227,7 @@ def _gate(keywords: list[str]) -> str:
 
 def _detections(norm: Column, keys: Column, rules: list[Signature]) -> Column:
     """keys: the distinct keywords found in norm, the longest at each place."""
-    live = F.filter(F.filter(_literal(rules), lambda r: F.exists(keys, lambda k: F.startswith(k, r["keyword"]))), lambda r: F.rlike(norm, r["pattern"]))
+    live = F.filter(F.filter(_literal(rules), lambda r: F.exists(keys, lambda k: F.exists(r["keywords"], lambda w: F.startswith(k, w)))), lambda r: F.rlike(norm, r["pattern"]))
     per_rule = F.transform(
         live,
         lambda r: F.transform(
@@ -263,7 +264,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rules = signatures() if rules is None else rules
     phrases = BASE_PHRASES if phrases is None else phrases
     # one pass of one regex finds whether any keyword is there at all
-    gate = _gate([r.keyword for r in rules] + list(phrases))
+    gate = _gate([k for r in rules for k in r.keyword.split("|")] + list(phrases))
     base_pattern = " (?:" + "|".join(sorted(phrases, key=len, reverse=True)) + ")(?= )"
     base_of = F.create_map(*[F.lit(x) for kv in phrases.items() for x in kv])
     df = text_columns(docs, id_col, text_col).select("doc_id", normalized(F.col("text")).alias("norm"))

@@ -164,6 +164,49 @@ def test_license_suppression(spark):
     assert [(d["start"], d["end"], d["label"]) for d in found] == [(0, 3, "long"), (2, 3, "best"), (3, 4, "inner")]
 
 
+def _alternatives(parsed) -> list[str]:
+    """Texts of every alternative of a parsed pattern, with and without each optional part."""
+    out = [""]
+    for op, arg in parsed:
+        match str(op):
+            case "LITERAL":
+                more = [chr(arg)]
+            case "ANY":
+                more = ["x"]
+            case "IN":
+                more = [chr(x) for _, x in arg]
+            case "SUBPATTERN":
+                more = _alternatives(arg[3])
+            case "BRANCH":
+                more = [x for branch in arg[1] for x in _alternatives(branch)]
+            case "MAX_REPEAT" | "MIN_REPEAT":
+                more = ([""] if arg[0] == 0 else []) + _alternatives(arg[2])
+        out = [a + b for a in out for b in more]
+    return out
+
+
+def test_license_rules_pass_their_own_gate():
+    lost = set()
+    for rule in licenses.signatures():
+        if rule.label == "apache-2.0" and rule.pattern.startswith("you may not"):
+            continue  # the keyword is a condition of its own
+        for text in _alternatives(re._parser.parse(rule.pattern)):
+            assert re.fullmatch(rule.pattern, text)
+            if not any(f" {k}" in f" {text}" for k in rule.keyword.split("|")):
+                lost.add((rule.label, text))
+    assert not lost
+
+
+def test_license_names_without_the_first_keyword(spark):
+    texts = {
+        "gpl-3.0": "Licensed under the GNU GPL v3", "gpl": "the GNU GPL", "agpl-3.0": "GNU AGPL 3.0", "gfdl-1.3": "GNU FDL 1.3", "0bsd": "License: 0BSD.", "python-2.0": "PSF license",
+        "wtfpl": "Do What The Fuck You Want To Public License", "openrail": "CreativeML OpenRAIL-M",
+    }
+    docs = spark.createDataFrame(list(enumerate(texts.values())), "doc_id long, text string")
+    got = {r["doc_id"]: {d["label"] for d in r["detections"] or ()} for r in licenses.license_scan(docs).collect()}
+    assert all(label in got[i] for i, label in enumerate(texts)), got
+
+
 # 5 -------------------------------------------------------------------------
 
 
