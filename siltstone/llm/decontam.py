@@ -26,6 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from .common import text_columns
 from .text import ALNUM_WORD, ASCII_LOWER, ASCII_UPPER, IS_ALNUM, Words, chunks, flat
@@ -300,31 +301,53 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs with every hit span cut out of the text (first to last character of its words).
 
-    Texts without hits stay as they are. Each block of the benchmark is one pass over the result of the last.
+    Texts without hits stay as they are. Each block of the benchmark is one pass over the whole texts; the last one cuts the spans of all.
     """
-    for block in _blocks(benchmark, item_col, item_text_col, block_bytes):
-        phrases = Phrases(block, window)
-        place = docs.columns.index(text_col)
+    place, columns, schema = docs.columns.index(text_col), docs.columns, docs.schema
+    carried = "spans"
+    while carried.lower() in {c.lower() for c in columns}:
+        carried += "_"
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    with_spans = StructType([*schema.fields, StructField(carried, ArrayType(StructType().add("start", "long").add("end", "long")))])
 
-        def cut(batches: Iterator[pa.RecordBatch], phrases=phrases, place=place) -> Iterator[pa.RecordBatch]:
+    def scanner(phrases: Phrases, first: bool, last: bool):
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 data, offs = flat(batch.column(place))
-                texts = batch.column(place).to_pylist()
+                texts = batch.column(place).to_pylist() if last else []
+                spans: list[list[tuple[int, int]]] = [[] for _ in range(batch.num_rows)]
                 for i, j in chunks(offs, SHARD_BYTES):
                     shard = Scan(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], phrases)
-                    for k in shard.items:
-                        raw, base = texts[i + k].encode(), shard.words.first[k]
-                        start, end, origin = shard.words.start, shard.words.end, offs[i + k] - offs[i]
-                        kept, at = [], 0
-                        for a, b in shard.spans(k):
-                            kept.append(raw[at : start[base + a] - origin])
-                            at = end[base + b - 1] - origin
-                        texts[i + k] = b"".join([*kept, raw[at:]]).decode()
-                columns = list(batch.columns)
-                columns[place] = pa.array(texts, batch.schema.field(place).type)
-                yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
-
-        docs = docs.mapInArrow(cut, docs.schema)
+                    if not first:  # add what earlier blocks found
+                        for k, found in enumerate(batch.column(len(columns)).slice(i, j - i).to_pylist()):
+                            for x in found:
+                                shard.hit[shard.words.first[k] + x["start"] : shard.words.first[k] + x["end"]] = True
+                    for k in np.unique(shard.words.doc()[shard.hit]).tolist():
+                        spans[i + k] = shard.spans(k)
+                        if last:
+                            raw, base = texts[i + k].encode(), shard.words.first[k]
+                            start, end, origin = shard.words.start, shard.words.end, offs[i + k] - offs[i]
+                            kept, at = [], 0
+                            for a, b in spans[i + k]:
+                                kept.append(raw[at : start[base + a] - origin])
+                                at = end[base + b - 1] - origin
+                            texts[i + k] = b"".join([*kept, raw[at:]]).decode()
+                fields, out = list(batch.schema)[: len(columns)], list(batch.columns)[: len(columns)]
+                if last:
+                    out[place] = pa.array(texts, fields[place].type)
+                else:
+                    fields.append(pa.field(carried, kind))
+                    out.append(pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], kind))
+                yield pa.RecordBatch.from_arrays(out, schema=pa.schema(fields))
+
+        return scan
+
+    blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
+    block, first = next(blocks), True
+    while block is not None:
+        after = next(blocks, None)
+        docs = docs.mapInArrow(scanner(Phrases(block, window), first, after is None), schema if after is None else with_spans)
+        block, first = after, False
     return docs
 
 

@@ -47,6 +47,17 @@ def test_decontaminated_texts(spark):
     assert got == {1: "Before,  after\nthe end", 2: "clean\ntext", 3: None, 4: ""}
 
 
+def test_decontaminated_by_blocks(spark):
+    w = [f"w{i}" for i in range(60)]
+    items = [(1, " ".join(w[5:25])), (2, " ".join(w[20:30])), (3, " ".join(w[30:40])), (4, " ".join(w[4:5] + w[40:49])), *((k, f"other {k}") for k in range(5, 30))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = data.documents(spark, [(1, ", ".join(w)), (2, "clean\ntext"), (3, None), (4, "")])
+    whole, blocks = ({r["doc_id"]: tuple(r) for r in decontam.decontaminated(docs, bench, block_bytes=n).collect()} for n in (1 << 20, 40))
+    assert whole == blocks and decontam.decontaminated(docs, bench, block_bytes=40).schema == docs.schema
+    # what becomes neighbours by the cut (w4, w40 to w48) is no passage
+    assert whole[1][docs.columns.index("text")] == ", ".join(w[:5]) + ", , " + ", ".join(w[40:])
+
+
 def test_suffix_array_and_fm_index():
     rnd = np.random.default_rng(3)
     for size, letters in ((1, 3), (50, 2), (400, 3), (300, 40)):
