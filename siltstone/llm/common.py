@@ -58,7 +58,17 @@ def written(df: DataFrame, kind: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, kind)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables of `written` that no later job reads."""
+    for df in tables:
+        spark = df.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def text_columns(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

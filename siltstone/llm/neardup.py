@@ -1,24 +1,32 @@
 """Operator 10: near-duplicate detection by MinHash.
 
 Many universal hash minima make a signature, cut into bands. Documents with
-equal shingle sets fall together first, under one representative, so a group
-of exact copies costs one row. Representatives that share a band are compared
-with the centre of their bucket (a star, so a bucket of m makes m - 1 pairs),
-first by signature, then on the full shingle sets. Components of the links
-come from alternating large-star and small-star. A second round looks at the
-buckets that still hold several components and compares, in blocks of bounded
-size, every member outside the centre's component with every member of
-another component; nothing is left out, however large the bucket. Links of
-both rounds give the final components.
+equal shingle sets fall together first, as one node, so a group of exact
+copies costs one row. Nodes that share a band are compared with the centre of
+their bucket (a star, so a bucket of m makes at most m - 1 pairs), first by
+signature, then on the full shingle sets. The centre is the member whose bands
+are shared most, so the buckets of one cluster agree on it. Components of the
+links come from alternating large-star and small-star.
+
+Buckets that still hold several components are settled exactly: a bucket's
+members go into packed rows of about BLOCK_BYTES, each row of members outside
+the bucket's main component meets each row of members, and within such a cell
+every pair of different components is compared, by signature and then on the
+full sets. Nothing is left out, however large the bucket, and only links leave
+a cell.
 
 With 40 bands of 6 rows a pair at a similarity of exactly 0.8 shares no band
 with probability 5e-6; the signature test drops it with probability 1e-4 (it
 lies four standard deviations below), at 0.85 with less than 1e-8.
 
 Null and empty texts have no shingles, are linked with nothing and kept.
-Texts shorter than a shingle are one shingle. Repeated rows are copies; rows
-that share an id but not a text count as separate documents. Full sets hold
-48-bit hashes of their shingles.
+Texts shorter than a shingle are one shingle; very long texts are taken whole.
+Repeated rows are copies of each other: they get the same component, and
+`kept` holds for each of them if it holds for one. Rows that share an id but
+not a text are nodes of their own. Rows without an id link like others, never
+name a component that has another member with an id, and are kept. An empty
+table gives an empty result; extra columns are not read. Full sets hold 48-bit
+hashes of their shingles.
 """
 
 from __future__ import annotations
@@ -28,17 +36,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_columns, written
+from .common import dropped, text_columns, written
 from .text import ASCII_LOWER, ASCII_UPPER, IS_SPACE_WORD, Words, chunks, flat, mix, windows
 
 BANDS, ROWS = 40, 6
-#: Members compared at once in the second round.
-BLOCK = 256
-#: Buckets up to this size hand their pairs on; larger ones confirm them on the spot.
-SMALL = 32
+#: Bytes of signatures and sets that a packed row of a bucket holds.
+BLOCK_BYTES = 512 << 10
+#: Shared shingles that a cell counts at once.
+COLUMNS = 4096
 _SHINGLE = 0xE7037ED1A0B428DB
 _rng = np.random.default_rng(20240607)
 _A = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -73,6 +81,26 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, size: int, lower: bool = Tr
     return value, np.searchsorted(owner, np.arange(len(offs)))
 
 
+def _names(value: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each set, whatever the order of its shingles."""
+    with np.errstate(over="ignore"):
+        return np.add.reduceat(mix(value), at), np.bitwise_xor.reduceat(mix(value ^ np.uint64(_SHINGLE)), at)
+
+
+def _node(doc_id: Column, low: Column) -> Column:
+    """A set's name as 17 bytes: they sort by doc_id, without an id last, and tell sets of one id apart."""
+    hexed = lambda x: F.lpad(F.hex(x), 16, "0")
+    least = -(1 << 63)
+    return F.unhex(F.concat(F.when(doc_id.isNull(), "01").otherwise("00"), hexed(F.coalesce(doc_id, F.lit(0).cast("long")).bitwiseXOR(F.lit(least))), hexed(low)))
+
+
+def _doc_id(node: Column) -> Column:
+    """The doc_id in a node's name."""
+    digits = F.hex(F.substring(node, 2, 8))
+    high = F.conv(F.substring(digits, 1, 8), 16, 10).cast("long") - F.lit(1 << 31)
+    return F.when(F.substring(node, 1, 1) == F.unhex(F.lit("00")), F.shiftleft(high, 32).bitwiseOR(F.conv(F.substring(digits, 9, 8), 16, 10).cast("long")))
+
+
 def _features(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,8 +115,7 @@ def _features(size: int):
                 sig = np.zeros((j - i, BANDS * ROWS), np.uint8)
                 if len(full):
                     with np.errstate(over="ignore"):
-                        low[full] = np.add.reduceat(mix(value), at)
-                        high[full] = np.bitwise_xor.reduceat(mix(value ^ np.uint64(_SHINGLE)), at)
+                        low[full], high[full] = _names(value, at)
                         for b in range(BANDS):
                             key = np.full(len(full), b, np.uint64)
                             for r in range(b * ROWS, (b + 1) * ROWS):
@@ -98,9 +125,8 @@ def _features(size: int):
                             bands[full, b] = key
                 flat_bands = pa.array(bands[full].ravel().view(np.int64))
                 band_lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))]), pa.int32()), flat_bands)
-                blobs = np.concatenate([sig, (bands & np.uint64(0xFFFFFFFF)).astype("<u4").view(np.uint8).reshape(j - i, -1)], axis=1)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(low.view(np.int64)), pa.array(high.view(np.int64)), band_lists, pa.array([x.tobytes() for x in blobs], pa.binary())],
+                    [batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(low.view(np.int64)), pa.array(high.view(np.int64)), band_lists, pa.array([x.tobytes() for x in sig], pa.binary())],
                     names=["doc_id", "n_shingles", "low", "high", "bands", "sig"],
                 )
 
@@ -108,14 +134,25 @@ def _features(size: int):
 
 
 def _full_sets(size: int):
+    """node and packed full set of each text that has shingles."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = flat(batch.column(1))
             for i, j in chunks(offs):
                 value, first = shingle_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], size)
+                full = np.flatnonzero(np.diff(first))
+                if not len(full):
+                    continue
+                low, _ = _names(value, first[:-1][full])
+                ids = batch.column(0).slice(i, j - i).take(pa.array(full))
+                name = np.zeros((len(full), 17), np.uint8)
+                name[:, 0] = ids.is_null().to_numpy(zero_copy_only=False)
+                name[:, 1:9] = (ids.fill_null(0).to_numpy() ^ np.int64(-(1 << 63))).astype(">i8").view(np.uint8).reshape(-1, 8)
+                name[:, 9:] = low.astype(">u8").view(np.uint8).reshape(-1, 8)
                 packed = (value >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-                blobs = [packed[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(blobs, pa.binary())], names=["node", "members"])
+                blobs = [packed[a:b].tobytes() for a, b in zip(first[full].tolist(), first[full + 1].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in name], pa.binary()), pa.array(blobs, pa.binary())], names=["node", "members"])
 
     return run
 
@@ -131,11 +168,8 @@ def _confirm(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            keep = np.zeros(len(a), bool)
-            for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                keep[k] = _shares(_unpacked(x.as_py()), _unpacked(y.as_py()), percent)
-            yield pa.RecordBatch.from_arrays([pa.array(a[keep], pa.int64()), pa.array(b[keep], pa.int64())], names=["a", "b"])
+            keep = [_shares(_unpacked(x.as_py()), _unpacked(y.as_py()), percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -145,11 +179,8 @@ def _alike(threshold: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1)[:, : BANDS * ROWS] for c in (2, 3))
-            keep = (x == y).sum(axis=1) >= threshold * BANDS * ROWS
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in (0, 1)], names=["a", "b"])
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, BANDS * ROWS) for c in (2, 3))
+            yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= threshold * BANDS * ROWS))
 
     return run
 
@@ -164,69 +195,79 @@ def _shares(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(x) + len(y) - common)
 
 
-def _cross(threshold: float, percent: int, confirm: bool):
-    """Second round: pairs of different components in each block pair of a bucket.
-
-    Columns: h, ri, cj, band, node, comp, outside, role (1 to be met, 2 asks,
-    3 both), sig, and with `confirm` the full set. A pair comes out of the
-    first band it shares only. With `confirm` only links come out, and of a
-    member's links to one component the first that is found.
-    """
-
-    def pairs(rows: list[tuple]) -> tuple[list[int], list[int]]:
-        band = rows[0][3]
-        node, comp = np.array([r[4] for r in rows]), np.array([r[5] for r in rows])
-        outside, role = np.array([r[6] for r in rows]), np.array([r[7] for r in rows])
-        sig = np.frombuffer(b"".join(r[8] for r in rows), np.uint8).reshape(len(rows), -1)
-        rowsig, bandsig = sig[:, : BANDS * ROWS], np.ascontiguousarray(sig[:, BANDS * ROWS :]).view("<u4")
-        met = np.flatnonzero(role & 1)
-        sets: dict[int, np.ndarray] = {}
-
-        def members(k: int) -> np.ndarray:
-            if k not in sets:
-                sets[k] = _unpacked(rows[k][9])
-            return sets[k]
-
-        left, right = [], []
-        for q in np.flatnonzero(role & 2).tolist():
-            # of two members outside, the smaller one asks
-            ok = met[(comp[met] != comp[q]) & (~outside[met] | (node[met] > node[q]))]
-            if not len(ok):
-                continue
-            agree = (rowsig[ok] == rowsig[q]).sum(axis=1)
-            near = agree >= threshold * BANDS * ROWS
-            ok, agree = ok[near], agree[near]
-            if not len(ok):
-                continue
-            first = np.argmax(bandsig[ok] == bandsig[q], axis=1) == band
-            ok, agree = ok[first], agree[first]
-            if confirm:
-                linked: set[int] = set()
-                for k in ok[np.argsort(-agree, kind="stable")].tolist():
-                    if comp[k] not in linked and _shares(members(q), members(k), percent):
-                        linked.add(comp[k])
-                        left.append(int(node[q]))
-                        right.append(int(node[k]))
-            else:
-                left += [int(node[q])] * len(ok)
-                right += node[ok].tolist()
-        return left, right
+class _Packed:
+    """The members of one packed row."""
+
+    def __init__(self, rows: list[dict]):
+        self.node = [r["node"] for r in rows]
+        self.comp = [r["comp"] for r in rows]
+        self.outside = np.array([r["outside"] for r in rows])
+        self.sig = np.frombuffer(b"".join(r["sig"] for r in rows), np.uint8).reshape(len(rows), BANDS * ROWS)
+        self.sets = [_unpacked(r["members"]) for r in rows]
+        self.size = np.array([len(x) for x in self.sets])
+
+
+def _common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all x with all y: products of 0/1 columns, one for each shingle that both sides hold."""
+    shared = np.intersect1d(np.concatenate(x), np.concatenate(y))
+    out = np.zeros((len(x), len(y)), np.float32)
+
+    def columns(sets: list[np.ndarray], part: np.ndarray) -> np.ndarray:
+        values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.minimum(np.searchsorted(part, values), len(part) - 1)
+        hit = part[at] == values
+        m = np.zeros((len(sets), len(part)), np.float32)
+        m[owner[hit], at[hit]] = 1
+        return m
+
+    for i in range(0, len(shared), COLUMNS):
+        part = shared[i : i + COLUMNS]
+        out += columns(x, part) @ columns(y, part).T
+    return np.rint(out).astype(np.int64)
+
+
+def _cell_links(ask: _Packed, met: _Packed, threshold: float, percent: int) -> Iterator[tuple[bytes, bytes]]:
+    """Links between different components, of a member's links to one component the first."""
+    numbers: dict[bytes, int] = {}
+    ca, cm = (np.array([numbers.setdefault(c, len(numbers)) for c in p.comp]) for p in (ask, met))
+    na, nm = np.array(ask.node, object), np.array(met.node, object)
+    # of two members outside, the smaller one asks
+    open_ = (ca[:, None] != cm[None, :]) & (~met.outside[None, :] | (na[:, None] < nm[None, :]).astype(bool))
+    small, large = np.minimum(ask.size[:, None], met.size[None, :]), np.maximum(ask.size[:, None], met.size[None, :])
+    open_ &= 100 * small >= percent * large
+    if not open_.any():
+        return
+    agree = np.zeros(open_.shape, np.int16)
+    for r in range(BANDS * ROWS):
+        agree += ask.sig[:, r, None] == met.sig[None, :, r]
+    open_ &= agree >= threshold * BANDS * ROWS
+    rows, cols = np.flatnonzero(open_.any(axis=1)), np.flatnonzero(open_.any(axis=0))
+    if not len(rows):
+        return
+    common = _common([ask.sets[i] for i in rows], [met.sets[j] for j in cols])
+    linked = open_[np.ix_(rows, cols)] & (100 * common >= percent * (ask.size[rows][:, None] + met.size[cols][None, :] - common))
+    for i, row in zip(rows.tolist(), linked, strict=True):
+        hit = cols[row]
+        _, once = np.unique(cm[hit], return_index=True)
+        for j in hit[once].tolist():
+            yield ask.node[i], met.node[j]
+
+
+def _cells(threshold: float, percent: int):
+    """Links of each cell (h, ri, cj): of the rows `ask` and `met`, which lie together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(rows: list[tuple]) -> pa.RecordBatch:
-            a, b = pairs(rows)
-            return pa.RecordBatch.from_arrays([pa.array(map(min, a, b), pa.int64()), pa.array(map(max, a, b), pa.int64())], names=["a", "b"])
-
-        key, rows = None, []
+        key, held = None, {}
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[:3] != key and rows:
-                    yield out(rows)
-                    rows = []
-                key = row[:3]
-                rows.append(row)
-        if rows:
-            yield out(rows)
+            for k in range(batch.num_rows):
+                cell = tuple(batch.column(c)[k].as_py() for c in (0, 1, 2))
+                if cell != key:
+                    key, held = cell, {}
+                held[batch.column(3)[k].as_py()] = _Packed(batch.column(4)[k].as_py())
+                if len(held) == 2:
+                    found = list(_cell_links(held[True], held[False], threshold, percent))
+                    held = {}
+                    yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], names=["a", "b"])
 
     return run
 
@@ -248,12 +289,12 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         # large-star: larger neighbours go to the smallest neighbour
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        edges = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = written(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "edges")
+        dropped(edges)
         # small-star: a node and its smaller neighbours go to the smallest of them
-        edges = written(edges, "edges")
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        edges = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        edges = written(edges, "edges")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        edges = written(large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        dropped(large)
         after = mark(edges)
         if after == before:
             break
@@ -265,55 +306,60 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     source = text_columns(docs, id_col, text_col)
     threshold = percent / 100 - 4 * (percent / 100 * (1 - percent / 100) / (BANDS * ROWS)) ** 0.5
     feats = written(source.mapInArrow(_features(shingle), "doc_id long, n_shingles long, low long, high long, bands array<long>, sig binary"), "minhash")
-    full = feats.where("n_shingles > 0")
-    # equal sets: one representative, the smallest id
-    groups = written(full.groupBy("low", "high").agg(F.min("doc_id").alias("node")), "groups")
-    picked = full.join(groups, ["low", "high"]).where("doc_id = node").dropDuplicates(["node"])
-    nodes = written(picked.select("node", "bands", "sig"), "nodes")
+    # equal sets have equal bands and signatures, so any row stands for them
+    groups = feats.where("n_shingles > 0").groupBy("low", "high").agg(F.min("doc_id").alias("least"), F.any_value("n_shingles").alias("size"), F.any_value("bands").alias("bands"), F.any_value("sig").alias("sig"))
+    nodes = written(groups.select("low", "high", "size", "bands", "sig", _node(F.col("least"), F.col("low")).alias("node")), "nodes")
 
-    exploded = nodes.select("node", F.posexplode("bands").alias("band", "h"))
-    buckets = exploded.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct(F.xxhash64("node").alias("p"), F.col("node"))).alias("c")).where("m > 1").select("h", "m", F.col("c.node").alias("center"))
-    members = written(exploded.join(buckets, "h"), "members")
+    # a bucket's rows travel by the short name of their sets; sets that share it by chance are only compared more often
+    exploded = nodes.select("low", F.explode("bands").alias("h"))
+    sizes = exploded.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    members = written(exploded.join(sizes, "h").join(nodes.select("low", "node"), "low").select("h", "node", "m"), "members")
+    shared = members.groupBy("node").agg(F.sum("m").alias("w"))
+    members = written(members.join(shared, "node").select("h", "node", "w"), "members")
 
     sigs = nodes.select("node", "sig")
     needed = members.select("node").distinct()
-    sets = written(source.join(needed, source["doc_id"] == needed["node"], "left_semi").mapInArrow(_full_sets(shingle), "node long, members binary"), "sets")
+    sets = written(source.join(needed.select(_doc_id(F.col("node")).alias("id")).distinct(), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").mapInArrow(_full_sets(shingle), "node binary, members binary").dropDuplicates(["node"]), "sets")
 
     def joined(pairs: DataFrame, values: DataFrame, col: str) -> DataFrame:
         x = values.select(F.col("node").alias("a"), F.col(col).alias("x"))
         y = values.select(F.col("node").alias("b"), F.col(col).alias("y"))
         return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
 
-    def links(pairs: DataFrame, kind: str) -> DataFrame:
-        return written(joined(pairs, sets, "members").mapInArrow(_confirm(percent), "a long, b long").distinct(), kind)
-
-    star = members.where("node <> center").select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")).distinct()
-    first = links(joined(star, sigs, "sig").mapInArrow(_alike(threshold), "a long, b long"), "links")
-    comps = connected_components(first)
+    # the most shared member of each bucket meets the others
+    centers = members.groupBy("h").agg(F.max(F.struct("w", "node")).alias("c")).select("h", F.col("c.node").alias("center"))
+    pairs = members.join(centers, "h").where("node <> center").select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")).distinct()
+    alike = joined(pairs, sigs, "sig").mapInArrow(_alike(threshold), "a binary, b binary")
+    comps = connected_components(joined(alike, sets, "members").mapInArrow(_confirm(percent), "a binary, b binary"))
 
-    # buckets that still hold several components
+    # what is still mixed: all pairs of a member outside the bucket's largest component with a member of another one
     seen = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = seen.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.when(F.col("node") == F.col("center"), F.col("comp"))).alias("core")).where("lo <> hi").select("h", "core")
-    rest = seen.join(mixed, "h").withColumn("outside", F.col("comp") != F.col("core"))
-    asks = rest.where("outside").groupBy("h").agg(F.count(F.lit(1)).alias("s"))
-    rest = rest.join(asks, "h").withColumns({"mb": F.ceil(F.col("m") / BLOCK).cast("int"), "rb": F.ceil(F.col("s") / BLOCK).cast("int")})
-    rest = rest.withColumns({"cj": F.pmod(F.xxhash64("node"), F.col("mb")).cast("int"), "ri": F.pmod(F.xxhash64("node", F.lit(1)), F.col("rb")).cast("int")})
-    met = F.transform(F.sequence(F.lit(0), F.col("rb") - 1), lambda r: F.struct(r.alias("ri"), F.col("cj").alias("cj"), F.when(F.col("outside") & (r == F.col("ri")), 3).otherwise(1).alias("role")))
-    ask = F.transform(F.filter(F.sequence(F.lit(0), F.col("mb") - 1), lambda c: F.col("outside") & (c != F.col("cj"))), lambda c: F.struct(F.col("ri").alias("ri"), c.alias("cj"), F.lit(2).alias("role")))
-    dealt = rest.select("h", "band", "m", "node", "comp", "outside", F.explode(F.concat(met, ask)).alias("k")).join(sigs, "node").select("h", "k.ri", "k.cj", "band", "node", "comp", "outside", "k.role", "sig", "m")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def crossed(rows: DataFrame, confirm: bool) -> DataFrame:
-        return rows.drop("m").repartition(n, "h", "ri", "cj").sortWithinPartitions("h", "ri", "cj").mapInArrow(_cross(threshold, percent, confirm), "a long, b long").distinct()
-
-    # a small bucket's pairs are few for each member; in a large one the sets travel, so no pair leaves its task unconfirmed
-    second = links(crossed(dealt.where(F.col("m") <= SMALL), False), "links").unionByName(crossed(dealt.where(F.col("m") > SMALL).join(sets, "node").select(*dealt.columns, "members"), True))
-
-    every = connected_components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(second))
-    labelled = groups.join(every, "node", "left").select("low", "high", F.coalesce("comp", "node").alias("comp"))
+    several = seen.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h")
+    rows = seen.join(several, "h", "left_semi").join(nodes.select("node", "sig", (F.lit(BANDS * ROWS) + 6 * F.col("size")).alias("bytes")), "node")
+    rows = written(rows.select("h", "node", "comp", "bytes", "sig"), "mixed")
+    core = rows.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("h").agg(F.max(F.struct("k", "comp")).alias("c")).select("h", F.col("c.comp").alias("core"))
+    rows = rows.join(core, "h").withColumn("outside", F.col("comp") != F.col("core")).drop("core")
+    blocks = rows.groupBy("h").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("int").alias("mb"), F.ceil(F.sum(F.when(F.col("outside"), F.col("bytes"))) / BLOCK_BYTES).cast("int").alias("rb"))
+    dealt = rows.join(blocks, "h").join(sets, "node")
+    member = F.struct("node", "comp", "outside", "sig", "members")
+
+    def packed(part: DataFrame, salt: int, own: str, other: str, ask: bool) -> DataFrame:
+        """Packed rows, each sent to every packed row of the other kind."""
+        block = F.pmod(F.xxhash64("node", F.lit(salt)), F.col(own)).cast("int").alias("block")
+        rows = part.groupBy("h", block, other).agg(F.collect_list(member).alias("rows"))
+        each = rows.select("h", "block", F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("at"), "rows")
+        ri, cj = ("block", "at") if ask else ("at", "block")
+        return each.select("h", F.col(ri).alias("ri"), F.col(cj).alias("cj"), F.lit(ask).alias("ask"), "rows")
+
+    cells = packed(dealt.where("outside"), 1, "rb", "mb", True).unionByName(packed(dealt, 2, "mb", "rb", False))
+    last = cells.repartition(n, "h", "ri", "cj").sortWithinPartitions("h", "ri", "cj").mapInArrow(_cells(threshold, percent), "a binary, b binary")
+    every = connected_components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(last.distinct()))
+
+    labelled = nodes.select("low", "high", "node").join(every, "node", "left").select("low", "high", _doc_id(F.coalesce("comp", "node")).alias("comp"))
     return (
         feats.select("doc_id", "n_shingles", "low", "high")
         .join(labelled, ["low", "high"], "left")

@@ -402,14 +402,16 @@ def test_sketches_merge(spark):
 
 @pytest.mark.parametrize("shingle", [4, 5])
 def test_near_duplicates(spark, shingle):
-    docs = [(d, t) for d, t in data.texts() if d != 64]
+    a, b = data.texts()[-4][1], data.texts()[-3][1]
+    assert [d for d, _ in data.texts()[-4:-2]] == [64, 64]
+    docs = [*data.texts(), (66, a + " end"), (67, b + " end"), (-9, b + " end")]  # near copies of both texts of id 64
     got = rows_of(neardup.near_duplicates(data.documents(spark, docs), shingle=shingle))
     assert got == sorted(neardup.brute_force(docs, shingle), key=repr)
 
 
 def test_near_duplicate_chains_and_large_buckets(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "BLOCK", 8)
-    monkeypatch.setattr(neardup, "SMALL", 4)
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", 3000)
+    monkeypatch.setattr(neardup, "COLUMNS", 50)
     base = data.words(3, 120).split()
     docs, rnd = [], random.Random(8)
     for i in range(70):
@@ -431,6 +433,20 @@ def test_near_duplicates_of_nothing(spark):
     assert len(only) == 3 and all(r["kept"] for r in only)
 
 
+def test_near_duplicates_without_an_id(spark):
+    t = data.words(5, 80)
+    found = neardup.near_duplicates(data.documents(spark, [(None, t), (8, t + " x"), (9, t + " y"), (None, data.words(6, 80))])).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in found) == [(0, 0, True), (0, 8, True), (8, 8, True), (9, 8, False)]
+    pair = [(None, t), (None, t + " x")]
+    assert all(r["component_id"] is None and r["kept"] for r in neardup.near_duplicates(data.documents(spark, pair)).collect())
+
+
+def test_near_duplicates_of_one_row_repeated(spark):
+    t = data.words(5, 80)
+    found = neardup.near_duplicates(data.documents(spark, [(3, t)] * 300 + [(4, t + " x")] * 200)).collect()
+    assert len(found) == 500 and all(r["component_id"] == 3 and r["kept"] == (r["doc_id"] == 3) for r in found)
+
+
 def test_components(spark):
     rnd = random.Random(1)
     edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(60)]
