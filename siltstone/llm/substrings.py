@@ -1,13 +1,15 @@
 """Operator 6: substring dedup by Rabin-Karp hashes of every window of 35 words.
 
 One pass hashes every window of every document, twice: one hash deals the
-windows out to buckets, the other tells them apart in their bucket (with the
-bucket number, some 64 + log2(buckets) bits). A batch sends each bucket one
-row of packed hashes and positions, a hash at most once, so a passage that a
-third of all documents hold costs one entry a batch, not one a document. The
-buckets are shuffled and counted; what repeats goes back to its batch, and
-there repeated windows merge into maximal removal intervals by document. The
-text itself moves once, to meet its intervals.
+windows out to buckets, the other tells them apart in their bucket, with eight
+bits of the first (together 72 + log2(buckets) bits). The number of buckets
+follows from the bytes of the texts, about BUCKET_BYTES to each, so what one
+task holds doesn't grow. A batch sends each bucket one row of packed hashes
+and positions, a hash at most once, so a passage that a third of all documents
+hold costs one entry a batch, not one a document. The buckets are shuffled and
+counted; what repeats goes back to its batch, and there repeated windows merge
+into maximal removal intervals by document. The text itself moves once, to
+meet its intervals.
 
 Rows are told apart by doc_id and a hash of the text; equal rows repeat each
 other and get the same intervals. Null and empty texts have no words. Texts
@@ -38,6 +40,8 @@ _SPAN = "array<struct<start:long,end:long>>"
 _DEAL, _TELL = 0xD1342543DE82EF95, 0xA0761D6478BD642F
 #: A batch of windows; positions in it fit the packing.
 BATCH_BYTES = 8 << 20
+#: Text bytes whose windows make up a bucket; no more buckets than leave some windows in each row of a batch.
+BUCKET_BYTES, MOST_BUCKETS = 16 << 20, 1 << 14
 
 
 def _pack(at: np.ndarray) -> bytes:
@@ -125,7 +129,7 @@ def _hash_pass(size: int, buckets: int):
                     mine = first[lo:hi]
                     kinds.append(0)
                     where.append(int(bucket[lo]))
-                    blobs.append(b.tell[mine].astype("<u8").tobytes())
+                    blobs.append(b.tell[mine].astype("<u8").tobytes() + (b.deal[mine] >> np.uint64(56)).astype(np.uint8).tobytes())
                     places.append(_pack(b.at[mine]))
                     flags.append(np.packbits(again[mine]).tobytes())
                 # the documents: keys, text hashes, word counts; the number of buckets that will answer
@@ -144,13 +148,19 @@ def _hash_pass(size: int, buckets: int):
 
 def _count_bucket(rows: list[tuple[str, bytes, bytes, bytes]]) -> list[tuple[str, bytes]]:
     """For each batch, the places of its windows that other batches hold too."""
-    hashes = [np.frombuffer(h, "<u8") for _, h, _, _ in rows]
+    hashes = [np.frombuffer(h, "<u8", count=len(h) // 9) for _, h, _, _ in rows]
     every = np.concatenate(hashes)
+    more = np.concatenate([np.frombuffer(h, np.uint8, offset=len(h) // 9 * 8) for _, h, _, _ in rows])
     again = np.concatenate([np.unpackbits(np.frombuffer(f, np.uint8), count=len(h)) for h, (_, _, _, f) in zip(hashes, rows, strict=True)])
     order = np.argsort(every, kind="stable")
-    s = every[order]
+    s, x = every[order], more[order]
+    same = s[1:] == s[:-1]
+    if (x[1:] != x[:-1])[same].any():  # the eight bits tell apart what 64 don't
+        order = np.lexsort((more, every))
+        s, x = every[order], more[order]
+        same = s[1:] == s[:-1]
     fresh = np.ones(len(s), bool)
-    fresh[1:] = s[1:] != s[:-1]
+    fresh[1:] = ~same | (x[1:] != x[:-1])
     group = np.cumsum(fresh) - 1
     many = np.bincount(group) > 1
     repeated = np.zeros(len(every), bool)
@@ -221,12 +231,13 @@ def _merge_pass(size: int):
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35) -> DataFrame:
     """doc_id, text_hash, spans: the maximal intervals of words that repeated windows cover, where there are any."""
-    spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = text_columns(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(-1).cast("long")).alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    buckets = max(partitions, min(MOST_BUCKETS, -(-size // BUCKET_BYTES)))
     hashed = rows.mapInArrow(_hash_pass(window, buckets), "kind int, bucket long, batch string, hashes binary, places binary, flags binary")
-    counted = hashed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_count_pass, "kind int, batch string, places binary, docs binary, answers binary")
-    return counted.repartition(buckets, "batch").sortWithinPartitions("batch").mapInArrow(_merge_pass(window), f"doc_id long, text_hash long, spans {_SPAN}").dropDuplicates(["doc_id", "text_hash"])
+    counted = hashed.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(_count_pass, "kind int, batch string, places binary, docs binary, answers binary")
+    return counted.repartition(partitions, "batch").sortWithinPartitions("batch").mapInArrow(_merge_pass(window), f"doc_id long, text_hash long, spans {_SPAN}").dropDuplicates(["doc_id", "text_hash"])
 
 
 def _with_spans(docs: DataFrame, id_col: str, text_col: str, window: int) -> tuple[DataFrame, str]:

@@ -271,6 +271,19 @@ def test_substring_dedup(spark, window):
     assert substrings.substring_digests(data.empty(spark)).count() == 0
 
 
+def test_substring_dedup_by_small_buckets_and_batches(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "BUCKET_BYTES", 5000)
+    monkeypatch.setattr(substrings, "BATCH_BYTES", 3000)
+    assert rows_of(substrings.substring_digests(data.documents(spark), window=5)) == sorted(substrings.brute_force(data.texts(), 5), key=repr)
+
+
+def test_windows_are_told_apart_by_the_further_bits():
+    tell, flags = np.array([5, 5, 9], "<u8").tobytes(), b"\0"
+    rows = [("a", tell[8:] + bytes([1, 3]), substrings._pack(np.array([0, 4])), flags), ("b", tell[:8] + bytes([2]), b"\2", flags), ("c", tell + bytes([2, 1, 4]), substrings._pack(np.array([1, 2, 3])), flags)]
+    found = {name: np.frombuffer(places, "<u4").tolist() for name, places in substrings._count_bucket(rows)}
+    assert found == {"a": [0], "b": [2], "c": [1, 2]}
+
+
 def test_substring_positions_pack():
     rnd = np.random.default_rng(1)
     for gaps in (3, 300, 100_000):
