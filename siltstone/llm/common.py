@@ -74,3 +74,10 @@ def dropped(*tables: DataFrame) -> None:
 def text_columns(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the id and the text, by fixed names; null text is kept."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """The names with a tail that makes them differ from all columns of df."""
+    taken = {c.lower() for c in df.columns}
+    tail = next(k for k in range(len(taken) + 1) if not {f"__{n}{k}" for n in names} & taken)
+    return [f"__{n}{tail}" for n in names]

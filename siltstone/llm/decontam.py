@@ -7,11 +7,18 @@ positions. All test phrases are searched at once, backwards, one word a step;
 what is found is located by walking to the next sampled position, and the
 occurrences merge into removal spans.
 
-Phrases come from the benchmark in blocks of a bounded size, each block one
-pass over the documents, so what is sent to the tasks never grows with the
-benchmark. Null and empty texts have no words and are never contaminated;
-repeated rows are judged alike; an empty benchmark leaves everything clean; a
-document longer than a shard is a shard of its own.
+Phrases come from the benchmark in blocks of a bounded size. A benchmark of one
+block is one pass over the documents. With more, each block is a job of its own
+that writes the spans of the texts it hits, and a last pass unites the spans of
+all blocks, always on the uncut texts; so what is sent to the tasks and what a
+worker holds never grow with the benchmark, and the answer doesn't depend on
+the size of a block.
+
+Null and empty texts have no words and are never contaminated; repeated rows
+are judged alike; an empty benchmark leaves everything clean; a document longer
+than a shard is a shard of its own. Items without an id are searched like
+others (their words are hit), but are listed nowhere; items without words find
+nothing. Only the named columns are read; further ones stay as they are.
 """
 
 from __future__ import annotations
@@ -24,16 +31,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructField, StructType
+from pyspark.sql.types import StructType
 
-from .common import text_columns
+from .common import fresh_names, text_columns, written
 from .text import ALNUM_WORD, ASCII_LOWER, ASCII_UPPER, IS_ALNUM, Words, chunks, flat
 
 #: Text bytes of a shard, and of benchmark text searched in one pass.
 SHARD_BYTES = 8 << 20
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 #: Every so many text positions keep their place in the suffix array.
 SAMPLE = 8
 
@@ -52,17 +59,17 @@ def item_windows(text: str | None, size: int) -> set[tuple[str, ...]]:
 class Phrases:
     """Distinct windows as rows of word numbers, and the items of each."""
 
-    def __init__(self, items: list[tuple[str, str | None]], size: int):
+    def __init__(self, items: list[tuple[str | None, str | None]], size: int):
         owners: dict[tuple[str, ...], set[str]] = defaultdict(set)
         for item, text in items:
             for window in item_windows(text, size):
-                owners[window].add(item)
+                owners[window].update([] if item is None else [item])
         keys = sorted(owners)
         vocabulary = sorted({w for k in keys for w in k})
         number = {w: i for i, w in enumerate(vocabulary)}
         self.vocabulary = pa.array([w.encode() for w in vocabulary], pa.large_binary())
         self.length = np.array([len(k) for k in keys], np.int64)
-        self.rows = np.full((len(keys), size), -1, np.int64)
+        self.rows = np.full((len(keys), size), -1, np.int32)
         for i, k in enumerate(keys):
             self.rows[i, : len(k)] = [number[w] for w in k]
         self.items = [sorted(owners[k]) for k in keys]
@@ -257,111 +264,133 @@ class Scan:
         return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, str | None]]]:
-    """The items in blocks of about block_bytes of text, by a hash of the id."""
-    items = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).where(F.col("item").isNotNull())
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+_FOUND = "spans array<struct<start:long,end:long>>, items array<string>"
+
+
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str | None, str | None]]]:
+    """The items in blocks of about block_bytes of text, dealt by a hash of it; at least one block."""
+    items = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).where(F.length("text") > 0)
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-int(size) // block_bytes) or 1
     for k in range(n):
-        yield [tuple(r) for r in items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k).collect()]
+        yield [tuple(r) for r in items.where(F.pmod(F.xxhash64("text", "item"), F.lit(n)) == k).collect()]
+
+
+def _scanned(batch: pa.RecordBatch, place: int, phrases: Phrases) -> Iterator[tuple[int, int, Scan]]:
+    """The shards of a batch: first row, end, and what each holds."""
+    data, offs = flat(batch.column(place))
+    for i, j in chunks(offs, SHARD_BYTES):
+        yield i, j, Scan(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], phrases)
+
+
+def _text_key(text: Column) -> list[Column]:
+    """128 bits that stand for a text."""
+    return [F.xxhash64(text), F.xxhash64(F.lit(1), text)]
+
+
+def _hits(texts: DataFrame, phrases: Phrases) -> DataFrame:
+    """k0, k1 (the key of a text), spans and items of each distinct text that the phrases hit."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, shard in _scanned(batch, 2, phrases):
+                hit = sorted(shard.items)
+                part = batch.slice(i, j - i).take(pa.array(hit, pa.int64()))
+                spans = pa.array([[{"start": a, "end": b} for a, b in shard.spans(k)] for k in hit], _SPANS)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), spans, pa.array([sorted(shard.items[k]) for k in hit], pa.list_(pa.string()))], names=["k0", "k1", "spans", "items"])
+
+    keyed = texts.select(*[k.alias(f"k{i}") for i, k in enumerate(_text_key(F.col("text")))], "text")
+    return keyed.mapInArrow(scan, f"k0 long, k1 long, {_FOUND}").dropDuplicates(["k0", "k1"])
+
+
+def _with_hits(docs: DataFrame, text_col: str, blocks: Iterator[list], window: int) -> tuple[DataFrame, Phrases, bool]:
+    """docs with one more column, the spans and items of all blocks but one; the phrases of that one; whether there are others.
+
+    The last pass searches that block itself, so a benchmark of one block needs no table and no join.
+    """
+    block, tables = next(blocks), []
+    texts = docs.select(F.col(text_col).cast("string").alias("text"))
+    for other in blocks:
+        tables.append(written(_hits(texts, Phrases(other, window)), "hits"))
+    phrases = Phrases(block, window)
+    if not tables:
+        return docs, phrases, False
+    every = tables[0]
+    for t in tables[1:]:
+        every = every.unionByName(t)
+    k0, k1, found = fresh_names(docs, "k0", "k1", "found")
+    united = every.groupBy("k0", "k1").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items")).select(F.col("k0").alias(k0), F.col("k1").alias(k1), F.struct("spans", "items").alias(found))
+    mine = _text_key(docs[text_col].cast("string"))
+    joined = docs.join(united, (mine[0] == united[k0]) & (mine[1] == united[k1]), "left")
+    return joined.select(*[docs[f"`{c}`"] for c in docs.columns], found), phrases, True
+
+
+def _united(batch: pa.RecordBatch, i: int, shard: Scan) -> None:
+    """Adds what other blocks found (the last column) to a shard that begins at row i."""
+    for k, found in enumerate(batch.column(batch.num_columns - 1).slice(i, len(shard.words.counts)).to_pylist()):
+        if found is not None:
+            shard.items.setdefault(k, set()).update(found["items"])
+            for x in found["spans"]:
+                shard.hit[shard.words.first[k] + x["start"] : shard.words.first[k] + x["end"]] = True
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, spans (merged word intervals) and items (ids as strings, sorted) of every row."""
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    found = "n_words long, spans array<struct<start:long,end:long>>, items array<string>"
-
-    def scanner(phrases: Phrases, later: bool):
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                data, offs = flat(batch.column(1))
-                for i, j in chunks(offs, SHARD_BYTES):
-                    shard, part = Scan(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], phrases), batch.slice(i, j - i)
-                    if later:  # add what earlier blocks found
-                        for k, (spans, items) in enumerate(zip(part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True)):
-                            for x in spans:
-                                shard.hit[shard.words.first[k] + x["start"] : shard.words.first[k] + x["end"]] = True
-                            if items:
-                                shard.items.setdefault(k, set()).update(items)
-                    spans = [[{"start": a, "end": b} for a, b in shard.spans(k)] if k in shard.items else [] for k in range(j - i)]
-                    items = [sorted(shard.items.get(k, ())) for k in range(j - i)]
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column(0), part.column(1), pa.array(shard.words.counts, pa.int64()), pa.array(spans, kind), pa.array(items, pa.list_(pa.string()))],
-                        names=["doc_id", "text", "n_words", "spans", "items"],
-                    )
-
-        return scan
-
-    out = text_columns(docs, id_col, text_col)
-    for k, block in enumerate(_blocks(benchmark, item_col, item_text_col, block_bytes)):
-        out = out.mapInArrow(scanner(Phrases(block, window), k > 0), f"doc_id long, text string, {found}")
-    return out.drop("text")
+    rows, phrases, more = _with_hits(text_columns(docs, id_col, text_col), "text", _blocks(benchmark, item_col, item_text_col, block_bytes), window)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, shard in _scanned(batch, 1, phrases):
+                if more:
+                    _united(batch, i, shard)
+                spans = [[{"start": a, "end": b} for a, b in shard.spans(k)] if k in shard.items else [] for k in range(j - i)]
+                items = [sorted(shard.items.get(k, ())) for k in range(j - i)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(shard.words.counts, pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "n_words", "spans", "items"])
+
+    return rows.mapInArrow(scan, f"doc_id long, n_words long, {_FOUND}")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs with every hit span cut out of the text (first to last character of its words).
 
-    Texts without hits stay as they are. Each block of the benchmark is one pass over the whole texts; the last one cuts the spans of all.
+    Texts without hits stay as they are. Spans of all blocks of the benchmark are found on the uncut texts and cut once.
     """
-    place, columns, schema = docs.columns.index(text_col), docs.columns, docs.schema
-    carried = "spans"
-    while carried.lower() in {c.lower() for c in columns}:
-        carried += "_"
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    with_spans = StructType([*schema.fields, StructField(carried, ArrayType(StructType().add("start", "long").add("end", "long")))])
-
-    def scanner(phrases: Phrases, first: bool, last: bool):
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                data, offs = flat(batch.column(place))
-                texts = batch.column(place).to_pylist() if last else []
-                spans: list[list[tuple[int, int]]] = [[] for _ in range(batch.num_rows)]
-                for i, j in chunks(offs, SHARD_BYTES):
-                    shard = Scan(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], phrases)
-                    if not first:  # add what earlier blocks found
-                        for k, found in enumerate(batch.column(len(columns)).slice(i, j - i).to_pylist()):
-                            for x in found:
-                                shard.hit[shard.words.first[k] + x["start"] : shard.words.first[k] + x["end"]] = True
-                    for k in np.unique(shard.words.doc()[shard.hit]).tolist():
-                        spans[i + k] = shard.spans(k)
-                        if last:
-                            raw, base = texts[i + k].encode(), shard.words.first[k]
-                            start, end, origin = shard.words.start, shard.words.end, offs[i + k] - offs[i]
-                            kept, at = [], 0
-                            for a, b in spans[i + k]:
-                                kept.append(raw[at : start[base + a] - origin])
-                                at = end[base + b - 1] - origin
-                            texts[i + k] = b"".join([*kept, raw[at:]]).decode()
-                fields, out = list(batch.schema)[: len(columns)], list(batch.columns)[: len(columns)]
-                if last:
-                    out[place] = pa.array(texts, fields[place].type)
-                else:
-                    fields.append(pa.field(carried, kind))
-                    out.append(pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], kind))
-                yield pa.RecordBatch.from_arrays(out, schema=pa.schema(fields))
-
-        return scan
-
-    blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
-    block, first = next(blocks), True
-    while block is not None:
-        after = next(blocks, None)
-        docs = docs.mapInArrow(scanner(Phrases(block, window), first, after is None), schema if after is None else with_spans)
-        block, first = after, False
-    return docs
+    place, width, schema = docs.columns.index(text_col), len(docs.columns), docs.schema
+    rows, phrases, more = _with_hits(docs, text_col, _blocks(benchmark, item_col, item_text_col, block_bytes), window)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(place).to_pylist()
+            for i, _, shard in _scanned(batch, place, phrases):
+                if more:
+                    _united(batch, i, shard)
+                words = shard.words
+                for k in shard.items:
+                    raw, base, origin = texts[i + k].encode(), words.first[k], words.offs[k]
+                    kept, at = [], 0
+                    for a, b in shard.spans(k):
+                        kept.append(raw[at : words.start[base + a] - origin])
+                        at = words.end[base + b - 1] - origin
+                    texts[i + k] = b"".join([*kept, raw[at:]]).decode()
+            out = list(batch.columns)[:width]
+            out[place] = pa.array(texts, batch.schema.field(place).type)
+            yield pa.RecordBatch.from_arrays(out, names=batch.schema.names[:width])
+
+    return rows.mapInArrow(scan, StructType(schema.fields))
 
 
 def brute_force(documents: list[tuple[int, str | None]], items: list[tuple[int, str | None]], window: int = 10) -> dict[int, tuple[int, int, list[str]]]:
-    """doc_id -> (words, hit words, items), by looking everywhere; for tests."""
+    """doc_id -> (words, hit words, items), by looking everywhere; items without an id hit but aren't listed; for tests."""
     out = {}
-    listed = [(str(i), item_windows(t, window)) for i, t in items]
+    listed = [(i, item_windows(t, window)) for i, t in items]
     for doc, text in documents:
         words = _WORD.findall((text or "").translate(_LOWER))
         hit, owners = [False] * len(words), []
         for item, wins in listed:
             places = [(k, len(w)) for w in wins for k in range(len(words) - len(w) + 1) if tuple(words[k : k + len(w)]) == w]
-            if places:
-                owners.append(item)
+            if places and item is not None:
+                owners.append(str(item))
             for k, n in places:
                 hit[k : k + n] = [True] * n
         out[doc] = (len(words), sum(hit), sorted(owners))

@@ -31,7 +31,7 @@ def test_decontamination(spark, block_bytes):
     got = sorted((r["doc_id"], r["n_words"], sum(s["end"] - s["start"] for s in r["spans"]), list(r["items"])) for r in found.collect())
     expected = []
     for d, t in docs:
-        n, hit, owners = decontam.brute_force([(d, t)], [x for x in items if x[0] is not None])[d]
+        n, hit, owners = decontam.brute_force([(d, t)], items)[d]
         expected.append((d, n, hit, owners))
     assert got == sorted(expected)
     assert decontam.contamination(data.empty(spark), bench).count() == 0
@@ -58,6 +58,18 @@ def test_decontaminated_by_blocks(spark):
     assert whole[1][docs.columns.index("text")] == ", ".join(w[:5]) + ", , " + ", ".join(w[40:])
 
 
+def test_contamination_doesnt_depend_on_blocks(spark):
+    w = [f"w{i:02d}" for i in range(40)]
+    bench = spark.createDataFrame([(1, " ".join(w[:10])), (2, " ".join(w[5:15])), (None, " ".join(w[20:31])), (3, None)], "item_id long, text string")
+    docs = data.documents(spark, [(1, " ".join(w)), (1, " ".join(w)), (2, "clean"), (3, None)])
+    whole, blocks = (sorted(map(str, decontam.contamination(docs, bench, block_bytes=n).collect())) for n in (1 << 20, 40))
+    assert whole == blocks
+    found = decontam.contamination(docs, bench, block_bytes=40).where("doc_id = 1").head()
+    assert [(s["start"], s["end"]) for s in found["spans"]] == [(0, 15), (20, 31)] and found["items"] == ["1", "2"]
+    cut = [{(r["doc_id"], r["text"]) for r in decontam.decontaminated(docs, bench, block_bytes=n).collect()} for n in (1 << 20, 40)]
+    assert cut[0] == cut[1] and (1, " " + " ".join(w[15:20]) + "  " + " ".join(w[31:])) in cut[0]
+
+
 def test_suffix_array_and_fm_index():
     rnd = np.random.default_rng(3)
     for size, letters in ((1, 3), (50, 2), (400, 3), (300, 40)):
