@@ -11,8 +11,11 @@ is fitted to the pages that are extracted.
 Character references are decoded, white space inside a block becomes one
 space, blocks join in page order by two newlines; nothing is cut short.
 Headings and captions inside the article belong to it. Null and empty pages
-have the empty text; unclosed tags and comments run to the end of the page;
-repeated rows are treated alike.
+have the empty text; a tag that never closes is text, a comment that never
+closes runs to the end of the page; repeated rows are treated alike; very long
+pages are read whole, in time linear in their length, however they are broken;
+an empty table gives an empty result, and only the three named columns are
+read.
 """
 
 from __future__ import annotations
@@ -38,7 +41,12 @@ _RAW = frozenset("script style title textarea noscript template iframe svg math
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: What an opening tag closes, and where the search for it stops.
 _CLOSES = {"li": ("li", frozenset("ul ol menu".split())), "dt": ("dd dt", frozenset(["dl"])), "dd": ("dd dt", frozenset(["dl"])), "tr": ("tr", frozenset(["table"])), "td": ("td th", frozenset(["tr", "table"])), "th": ("td th", frozenset(["tr", "table"])), "option": ("option", frozenset(["select"]))}
-_TOKEN = re.compile(r"<!--|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_OPEN = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+_ATTRIBUTES = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
+#: Tags with quotes that lead to the end of the page; after so many, quotes count no more on that page.
+QUOTES = 3
+#: Deeper blocks are taken as lying at this depth.
+DEPTH = 512
 _ATTRIBUTE = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
@@ -83,10 +91,10 @@ def _hints_of(attributes: str) -> frozenset[str]:
 def blocks_of(page: str) -> tuple[list[Block], str]:
     """The leaf blocks of a page in order, and its title."""
     out: list[Block] = []
-    stack: list[tuple[str, frozenset[str]]] = []
+    stack: list[tuple[str, frozenset[str]]] = []  # tags, each with its hints and those of all around it
     pending: list[str] = []
     linked = in_link = 0
-    title = ""
+    title, unquoted = "", 0
     none: frozenset[str] = frozenset()
 
     def flush() -> None:
@@ -94,11 +102,21 @@ def blocks_of(page: str) -> tuple[list[Block], str]:
         if pending:
             text = " ".join("".join(pending).split())
             if text:
-                hints = none.union(*(h for _, h in stack)) if stack else none
-                out.append(Block(text, tuple(t for t, _ in stack), hints, linked))
+                out.append(Block(text, tuple(t for t, _ in stack), stack[-1][1] if stack else none, linked))
             pending.clear()
         linked = 0
 
+    def end_of_tag(at: int) -> int:
+        """Where the > of a tag is whose name ends at `at`; -1 if there is none."""
+        nonlocal unquoted
+        end = page.find(">", at)
+        if end >= 0 and unquoted < QUOTES and (page.find('"', at, end) >= 0 or page.find("'", at, end) >= 0):
+            m = _ATTRIBUTES.match(page, at)
+            if m:
+                return m.end() - 1
+            unquoted += 1
+        return end
+
     def text(raw: str) -> None:
         nonlocal linked
         value = html.unescape(raw) if "&" in raw else raw
@@ -114,18 +132,18 @@ def blocks_of(page: str) -> tuple[list[Block], str]:
 
     at, n, lower = 0, len(page), None
     while at < n:
-        m = _TOKEN.search(page, at)
-        if m is None:
+        m = _OPEN.search(page, at)
+        end = end_of_tag(m.end()) if m and m[2] else -1
+        if m is None or m[2] and end < 0:
             text(page[at:])
             break
         if m.start() > at:
             text(page[at : m.start()])
-        at = m.end()
         if m[2] is None:
-            if m[0] == "<!--":
-                end = page.find("-->", at)
-                at = n if end < 0 else end + 3
+            end = page.find("-->", m.end()) if m[0] == "<!--" else page.find(">", m.end())
+            at = n if end < 0 else end + (3 if m[0] == "<!--" else 1)
             continue
+        attributes, at = page[m.end() : end], end + 1
         tag = m[2].lower()
         if m[1]:
             if tag == "a":
@@ -139,13 +157,13 @@ def blocks_of(page: str) -> tuple[list[Block], str]:
                     flush()
             continue
         if tag in _RAW and tag != "head":
+            if attributes.rstrip().endswith("/"):
+                continue
             lower = page.lower() if lower is None else lower
             end = lower.find(f"</{tag}", at)
             if len(lower) != n:  # lower-casing changed the length: search as it is
                 found = re.compile(f"</{tag}", re.I).search(page, at)
                 end = found.start() if found else -1
-            if m[3].rstrip().endswith("/"):
-                continue
             if tag == "title" and not title:
                 title = " ".join(html.unescape(page[at : end if end >= 0 else n]).split())
             if end < 0:
@@ -172,7 +190,9 @@ def blocks_of(page: str) -> tuple[list[Block], str]:
                         break
             elif stack and stack[-1][0] == "p":
                 pop_to(len(stack) - 1)
-            stack.append((tag, _hints_of(m[3]) if m[3] else none))
+            if len(stack) < DEPTH:
+                around = stack[-1][1] if stack else none
+                stack.append((tag, around | _hints_of(attributes) if attributes else around))
     flush()
     return out, title
 

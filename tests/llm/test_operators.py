@@ -129,6 +129,52 @@ def test_html_extraction(spark):
     assert len(htmltext.main_text(long, htmltext.default_field())) > 100_000
 
 
+def test_broken_pages_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    for part in ("<a b", "<a b='", '<a ">" ', "<a<", "</p><div>x", "<svg/>x", "<!-- ", "<p class='", "<li>y", "<script "):
+        htmltext.blocks_of(part * (1_000_000 // len(part)))
+    assert time.perf_counter() - began < 90  # a quadratic scan of one of them takes hours
+
+
+#: Pages by hand, in shapes that the grammar of the training pages doesn't lay out, and their articles.
+BY_HAND = [
+    (
+        """<!DOCTYPE html><html lang="en"><body id="top"><div id="wrapper"><div id="masthead"><a href="/">The Gazette</a></div>
+        <ul class="menu"><li><a href="/n">News</a></li><li><a href="/s">Sport</a></li></ul>
+        <div class="story-body"><h1>Bridge reopens after nine months</h1><p>The old bridge over the river was opened again on Monday, the council said.</p>
+        <p>Repairs had taken <em>longer</em> than planned, and cost more than twice what was first thought.</p>
+        <blockquote>We are glad that it is done.</blockquote><p>Traffic was light in the morning.</p></div>
+        <div class="sidebar"><h3>Most read</h3><ol><li><a href="/1">Dog finds its way home</a></li><li><a href="/2">Ten recipes for autumn</a></li></ol></div>
+        <div id="footer">Copyright 2021 The Gazette. <a href="/terms">Terms</a></div></div></body></html>""",
+        ["Bridge reopens after nine months", "The old bridge over the river was opened again on Monday, the council said.", "Repairs had taken longer than planned, and cost more than twice what was first thought.", "We are glad that it is done.", "Traffic was light in the morning."],
+    ),
+    (
+        """<html><body><header role="banner"><nav aria-label="Main"><a href="/a">Docs</a> <a href="/b">Blog</a></nav></header>
+        <main><article><header><h1>How we store dates</h1></header><section><p>Dates are harder than they look &mdash; at least for us.</p>
+        <h2>First try</h2><p>We kept them as text, which sorted well until someone typed a year with two digits.</p></section>
+        <section><h2>Second try</h2><p>Then we kept days since 1970, and it has been quiet since.</p></section></article>
+        <section class="comments"><h2>2 comments</h2><div class="comment"><p>Why not seconds?</p></div><div class="comment"><p>Nice read, thank you.</p></div></section></main>
+        <aside class="newsletter"><form><label>Your address</label><input><button>Subscribe</button></form></aside>
+        <footer><small>&copy; 2023 Somebody</small></footer></body></html>""",
+        ["How we store dates", "Dates are harder than they look \u2014 at least for us.", "First try", "We kept them as text, which sorted well until someone typed a year with two digits.", "Second try", "Then we kept days since 1970, and it has been quiet since."],
+    ),
+]
+
+
+def test_pages_by_hand():
+    model = htmltext.default_field()
+    right = total = 0
+    for page, article in BY_HAND:
+        blocks, title = htmltext.blocks_of(page)
+        assert set(article) <= {b.text for b in blocks}
+        labels = model.labels(blocks, title)
+        right += sum((b.text in article) == bool(y) for b, y in zip(blocks, labels, strict=True))
+        total += len(blocks)
+    assert right / total >= 0.9
+
+
 # 3 -------------------------------------------------------------------------
 
 
