@@ -6,19 +6,24 @@ files to the shared folder: the ids packed into sequences of one length with
 their masks (the last sequence is padded), and the documents' places. The
 files map into memory, so any sequence or mask is a slice of the mapped bytes.
 
-Texts are cut at ASCII white space and between letters and marks, where this
-kind of vocabulary never joins text, and each distinct piece is encoded once by
-the library; a test holds the
-result against the library on whole texts. A retried task writes its file
-anew under the same name, with the same bytes.
+The library encodes whole texts. Where the tokenizer file itself shows that it
+never joins text across white space or between letters and marks (its
+pre-tokenizer keeps words, digits and marks apart and drops white space; see
+`cuttable`), texts are cut there and each distinct piece is encoded once.
+Documents that hold the string of one of the file's added tokens, in any case,
+are always encoded whole. Tests hold the result against the library on whole
+texts for both kinds of file. A retried task writes its file anew under the
+same name, with the same bytes.
 
 Null and empty texts are the end id alone. Rows with equal ids follow each
-other in the order of a hash of their text; null ids come first. An empty
-table gives no file and an empty result.
+other in the order of a hash of their text; null ids come first. Very long
+texts are encoded whole. An empty table gives no file and an empty result;
+further columns are not read.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import posixpath
 import uuid
@@ -33,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import filesystem, scratch, text_columns
-from .text import IS_SPACE_WORD, Words, chunks, flat
+from .text import IS_SPACE_WORD, LOWER, Words, chunks, flat
 
 #: Ids in a sequence and sequences in a record batch.
 LENGTH, BATCH = 2048, 256
@@ -42,15 +47,29 @@ REMEMBERED = 300_000
 
 _encoders: dict[str, PieceEncoder] = {}
 
-# The pre-tokenizer always splits between ASCII letters or digits and these marks.
+#: The split pattern under which words, single digits and runs of marks are always apart.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Normalisers that work on each piece as they do on the whole text.
+LOCAL = ({"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"})
+
+# Places between ASCII letters or digits and these marks, where that pattern always splits.
 _MARKS = np.isin(np.arange(256), [ord(c) for c in ".,;:!?#$%&*()"])
 _PLAIN = np.array([b < 128 and chr(b).isalnum() for b in range(256)])
-_CUTS = np.zeros((256, 256), bool)
-_CUTS |= (_PLAIN[:, None] & _MARKS[None, :]) | (_MARKS[:, None] & _PLAIN[None, :])
+_CUTS = (_PLAIN[:, None] & _MARKS[None, :]) | (_MARKS[:, None] & _PLAIN[None, :])
+
+
+def cuttable(spec: dict) -> bool:
+    """Whether a tokenizer file shows that cutting texts at white space and at _CUTS changes no id."""
+    normal = spec.get("normalizer") or {"type": "Sequence", "normalizers": []}
+    normal = normal["normalizers"] if normal["type"] == "Sequence" else [normal]
+    split = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    words = split[0].get("type") == "Split" and split[0]["pattern"] == {"Regex": WORD_PATTERN} and split[0]["behavior"] == "Removed" and split[0]["invert"]
+    bytes_ = all(s["type"] == "ByteLevel" and not s["use_regex"] and not s["add_prefix_space"] for s in split[1:])
+    return bool(words and bytes_ and all(n in LOCAL for n in normal) and not spec.get("post_processor") and not spec.get("truncation") and not spec.get("padding") and not spec["model"].get("dropout"))
 
 
 class PieceEncoder:
-    """Encodes white-space separated pieces with a tokenizer file, each distinct one once."""
+    """Encodes documents with a tokenizer file; where texts may be cut, each distinct piece once."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -58,6 +77,11 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.cuttable = cuttable(spec)
+        self.lower = self.cuttable and LOCAL[2] in (spec["normalizer"] or {}).get("normalizers", [])
+        self.added = [t["content"].lower().encode() for t in spec["added_tokens"]]
         self.known: dict[bytes, bytes] = {}
 
     @classmethod
@@ -83,15 +107,40 @@ class PieceEncoder:
                 known[v] = raw[a:b]
         return [known[v] for v in values]
 
-    def documents(self, data: np.ndarray, offs: np.ndarray, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the documents one after another, and the number of each."""
-        # lower-casing must not make a special token of what isn't one
-        lower = b"<|" not in data.tobytes()
-        words = Words(data, offs, IS_SPACE_WORD, lower=lower, cuts=_CUTS)
+    def _holding_added(self, data: np.ndarray, offs: np.ndarray) -> list[int]:
+        """Documents that hold the string of an added token, whatever its case."""
+        raw, found = LOWER[data].tobytes(), set()
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                found.add(int(np.searchsorted(offs, at, side="right")) - 1)
+                at = raw.find(token, at + 1)
+        return sorted(found)
+
+    def _whole(self, texts: list[str], end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+        tail = [] if end_id is None else [end_id]
+        runs = [np.array(e.ids + tail, self.kind) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, self.kind), *runs]), np.array([len(r) for r in runs], np.int64)
+
+    def _cut(self, data: np.ndarray, offs: np.ndarray, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+        words = Words(data, offs, IS_SPACE_WORD, lower=self.lower, cuts=_CUTS)
         coded = words.values().dictionary_encode()
         blobs = self.pieces(coded.dictionary.to_pylist())
         return gather(blobs, self.kind, coded.indices.to_numpy(zero_copy_only=False), words.counts, end_id)
 
+    def documents(self, data: np.ndarray, offs: np.ndarray, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the documents one after another, and the number of each."""
+        n = len(offs) - 1
+        whole = self._holding_added(data, offs) if self.cuttable else range(n)
+        parts, i = [], 0
+        for k in [*whole, n]:
+            if k > i:
+                parts.append(self._cut(data[offs[i] : offs[k]], offs[i : k + 1] - offs[i], end_id))
+            if k < n:
+                parts.append(self._whole([data[offs[k] : offs[k + 1]].tobytes().decode()], end_id))
+            i = k + 1
+        return np.concatenate([np.zeros(0, self.kind), *(p[0] for p in parts)]), np.concatenate([np.zeros(0, np.int64), *(p[1] for p in parts)])
+
 
 def gather(blobs: list[bytes], kind: np.dtype, index: np.ndarray, counts: np.ndarray, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
     """The id runs `blobs[index]`, split into documents of `counts` runs."""

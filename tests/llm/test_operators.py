@@ -307,16 +307,28 @@ def test_token_files(spark):
     assert tokenfiles.read_tokens(spark, tokenfiles.write_tokens(data.empty(spark), path)).count() == 0
 
 
-def test_pieces_equal_whole_texts():
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_pieces_equal_whole_texts(name):
     from tokenizers import Tokenizer
 
-    path = vocabulary("word_bpe_49k.json")
+    path = vocabulary(name)
     library, mine = Tokenizer.from_file(path), tokenfiles.PieceEncoder(path)
     rnd = random.Random(4)
     for _ in range(300):
         t = "".join(rnd.choice("aBé'sS.,;!|<>- \n\t\u00a0\u0301İ1२梦#$") for _ in range(rnd.randrange(40))) + rnd.choice(["", "<|endoftext|>", "don't", "I'LL", "<|ENDOFTEXT|>"])
-        ids, n = mine.documents(*text.flat(pa.array([t])), 2)
-        assert ids.tolist() == library.encode(t, add_special_tokens=False).ids + [2] and n.tolist() == [len(ids)]
+        texts = ["two words", t, "", "A last <|EndOfText|> one " + t]
+        ids, n = mine.documents(*text.flat(pa.array(texts)), 2)
+        expected = [library.encode(x, add_special_tokens=False).ids + [2] for x in texts]
+        assert ids.tolist() == [i for x in expected for i in x] and n.tolist() == [len(x) for x in expected]
+
+
+def test_only_shown_tokenizers_are_cut():
+    import json
+
+    word, byte = (json.load(open(vocabulary(n), encoding="utf-8")) for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
+    assert tokenfiles.cuttable(word) and not tokenfiles.cuttable(byte)
+    for part, other in (("normalizer", {"type": "Strip", "strip_left": True, "strip_right": True}), ("pre_tokenizer", {"type": "Whitespace"}), ("pre_tokenizer", None), ("post_processor", {"type": "ByteLevel"})):
+        assert not tokenfiles.cuttable({**word, part: other})
 
 
 # 6 -------------------------------------------------------------------------
