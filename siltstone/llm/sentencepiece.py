@@ -8,12 +8,17 @@ are committed and forgotten. Characters without a piece become byte pieces.
 
 Between two characters that no piece of the model holds side by side (a letter
 and the U+2581 after it, say) every path has a boundary; the segments between
-such places are encoded once each and remembered. Decoding gives back every text
-(U+2581 itself comes back as a space).
+such places go through the decoder one by one, and what it gives for a short
+one is remembered. Decoding gives back every text (U+2581 itself comes back as
+a space).
 
 Scores are those of the file. Of a file trained by merges, they are ranks, and
 the ids differ from those of the merge procedure, which isn't a shortest path.
-Null and empty texts have no ids. Repeated rows are encoded alike.
+The space put before the text and the lack of any other normalisation are
+fixed here, not read from the file. Null and empty texts have no ids; very
+long ones are encoded whole, in a window that doesn't grow; repeated rows are
+encoded alike; an empty table gives an empty result; columns that are named
+like the results are replaced, others stay.
 """
 
 from __future__ import annotations
@@ -75,6 +80,7 @@ class Pieces:
         if not any(b == SPACE and a != SPACE for a, b in wide):
             self.cuts[128:, 0x20] = True
         self.known: dict[bytes, bytes] = {}
+        self.decoder = StreamingViterbi(self)
 
     @classmethod
     def of(cls, path: str) -> Pieces:
@@ -87,99 +93,88 @@ class Pieces:
 
 
 class StreamingViterbi:
-    """feed() characters, get committed ids; finish() gives the rest."""
+    """feed() characters, get committed ids; finish() gives the rest.
+
+    The window holds the characters since the last commit. At each of its
+    boundaries it keeps the best score, and the length and id of the best
+    path's last piece (-1: a character spelled in bytes). Once the paths of all
+    boundaries where a later piece can still begin share a boundary, what lies
+    before it is committed.
+    """
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
-        self.base = 0  # the committed boundary
-        self.chars = ""  # characters since then
-        # for each position since the base: best score, length of the last piece, its id (-1: spelled), first boundary of its path
-        self.best: list[tuple[float, int, int, int]] = [(0.0, 0, 0, 0)]
-        self.peak = 1
+        self.base = 0  # characters committed
+        self.peak = 0  # the longest window so far
+        self._start(0.0)
+
+    def _start(self, score: float) -> None:
+        self.chars = ""
+        self.score, self.size, self.ident = [score], [0], [0]
 
     def feed(self, chars: str) -> list[int]:
-        out: list[int] = []
-        scores, longest, penalty = self.pieces.scores, self.pieces.longest, self.pieces.penalty
-        for c in chars:
-            self.chars += c
-            text, best = self.chars, self.best
-            t = len(text)
-            top, size, ident = best[t - 1][0] + penalty, 1, -1
-            for k in range(1, min(longest, t) + 1):
-                hit = scores.get(text[t - k : t])
-                if hit is not None and (s := best[t - k][0] + hit[0]) >= top:
-                    top, size, ident = s, k, hit[1]
-            best.append((top, size, ident, t if t == size else best[t - size][3]))
-            self.peak = max(self.peak, len(best))
-            if t % longest:
-                continue
-            # the next piece starts at one of the last `longest` boundaries
-            while len(best) > 1:
-                low = max(0, len(best) - longest)
-                first = best[-1][3]
-                if low < first or any(best[p][3] != first for p in range(low, len(best) - 1)):
-                    break
-                out += self._commit(first)
-                best = self.best
+        longest, out = self.pieces.longest, []
+        for at in range(0, len(chars), longest):
+            self._extend(chars[at : at + longest])
+            if len(self.chars) > longest:
+                out += self._settled()
         return out
 
-    def _commit(self, to: int) -> list[int]:
-        """Commits the first piece of the only path left; what follows starts there."""
-        _, size, ident, _ = self.best[to]
-        ids = [ident] if ident >= 0 else self.pieces.spelled(self.chars[to - size : to])
-        origin = self.best[to][0]
-        rest = self.best[to:]
-        self.best = [(0.0, 0, 0, 0)]
-        for p in range(1, len(rest)):
-            s, n, i, _ = rest[p]
-            # positions that don't reach the boundary can't be reached any more
-            self.best.append((s - origin, n, i, p if p - n <= 0 else self.best[p - n][3]))
-        self.chars = self.chars[to:]
-        self.base += to
+    def _extend(self, chars: str) -> None:
+        get, penalty, longest = self.pieces.scores.get, self.pieces.penalty, self.pieces.longest
+        score, size, ident = self.score, self.size, self.ident
+        t, text = len(self.chars), self.chars + chars
+        for t in range(t + 1, len(text) + 1):
+            top, length, best = score[t - 1] + penalty, 1, -1
+            for i in range(t - 1, t - longest - 1 if t > longest else -1, -1):
+                hit = get(text[i:t])
+                if hit is not None:
+                    s = score[i] + hit[0]
+                    if s >= top:
+                        top, length, best = s, t - i, hit[1]
+            score.append(top)
+            size.append(length)
+            ident.append(best)
+        self.chars = text
+        self.peak = max(self.peak, len(text))
+
+    def _settled(self) -> list[int]:
+        """Commits up to the boundary where all paths that can still go on have met."""
+        n, size = len(self.chars), self.size
+        low = n + 1 - self.pieces.longest
+        live = set(range(max(0, low), n + 1))
+        p = n
+        while len(live) > 1:
+            if p in live:
+                live.remove(p)
+                live.add(p - size[p])
+            p -= 1
+        met = live.pop()
+        if not met:
+            return []
+        ids = self._path(met)
+        self.chars = self.chars[met:]
+        self.score, self.size, self.ident = self.score[met:], size[met:], self.ident[met:]
+        self.base += met
         return ids
 
+    def _path(self, p: int) -> list[int]:
+        """Ids from the window's start to boundary p."""
+        out: list[int] = []
+        while p > 0:
+            if self.ident[p] >= 0:
+                out.append(self.ident[p])
+            else:
+                out += reversed(self.pieces.spelled(self.chars[p - 1]))
+            p -= self.size[p]
+        out.reverse()
+        return out
+
     def finish(self) -> list[int]:
-        ids: list[list[int]] = []
-        p = len(self.chars)
-        while p:
-            _, size, ident, _ = self.best[p]
-            ids.append([ident] if ident >= 0 else self.pieces.spelled(self.chars[p - size : p]))
-            p -= size
+        ids = self._path(len(self.chars))
         self.base += len(self.chars)
-        self.chars, self.best = "", [(0.0, 0, 0, 0)]
-        return [i for part in reversed(ids) for i in part]
-
-
-def segment_ids(pieces: Pieces, text: str) -> list[int]:
-    """Ids of a segment. One that fits the window needs no commits, so its lattice is kept in plain lists."""
-    n = len(text)
-    if n > pieces.longest:
-        decoder = StreamingViterbi(pieces)
-        return decoder.feed(text) + decoder.finish()
-    get, penalty = pieces.scores.get, pieces.penalty
-    hit = get(text)
-    if n == 1:
-        return [hit[1]] if hit else pieces.spelled(text)
-    score, size, ident = [0.0] * (n + 1), [1] * (n + 1), [-1] * (n + 1)
-    for t in range(1, n + 1):
-        top = score[t - 1] + penalty
-        for i in range(t - 1, -1, -1):
-            hit = get(text[i:t])
-            if hit is not None:
-                s = score[i] + hit[0]
-                if s >= top:
-                    top, size[t], ident[t] = s, t - i, hit[1]
-        score[t] = top
-    out: list[int] = []
-    while n:
-        k = ident[n]
-        if k >= 0:
-            out.append(k)
-        else:
-            out += reversed(pieces.spelled(text[n - 1]))
-        n -= size[n]
-    out.reverse()
-    return out
+        self._start(0.0)
+        return ids
 
 
 def whole_viterbi(pieces: Pieces, text: str) -> list[int]:
@@ -232,14 +227,14 @@ def encode_column(pieces: Pieces, column: pa.Array) -> tuple[np.ndarray, np.ndar
     """Ids of all documents, the number of each, and the prepared bytes."""
     data, values, counts = _segments(pieces, column)
     coded = values.dictionary_encode()
-    known = pieces.known
+    known, decoder = pieces.known, pieces.decoder
     if len(known) > REMEMBERED:
         known.clear()
     blobs = []
     for v in coded.dictionary.to_pylist():
         blob = known.get(v)
         if blob is None:
-            blob = array("i", segment_ids(pieces, v.decode().replace(" ", SPACE))).tobytes()
+            blob = array("i", decoder.feed(v.decode().replace(" ", SPACE)) + decoder.finish()).tobytes()
             if len(v) < 200:
                 known[v] = blob
         blobs.append(blob)
