@@ -8,9 +8,13 @@ the number of distinct shingles. Equal texts have equal fingerprints; two
 empty sketches are alike (1.0), an empty and a full one are not (0.0).
 
 `with_next` pairs each document with the next one in descending id order (the
-last with the first) without a global sort: ids are cut into ranges by their
-quantiles, each range is ordered on its own, and the head of a range is sent
-to the range before it as well. Rows with equal ids are ordered by their text.
+last with the first) without a global sort: rows are cut into ranges at sampled
+bounds, each range is ordered on its own, and the head of a range is sent to
+the range before it as well. Bounds and heads travel as small broadcast tables,
+so the plan doesn't grow with their number. Rows with equal ids, or without
+one, are ordered by a hash of their text and cut into ranges by it too; only
+rows that agree in both lie in one range. Very long texts are taken whole; an
+empty table gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, text_columns
+from .common import fresh_names, lower_ascii, text_columns
 
 K, SHINGLE = 128, 5
 
@@ -81,35 +85,56 @@ def packed(a: Column) -> Column:
     return F.base64(F.unhex(F.array_join(F.transform(a, lambda h: F.lpad(F.hex(h), 16, "0")), "")))
 
 
+#: Sampled rows for each range, to find its bounds.
+SAMPLED = 20
+
+
+def _bounds(placed: DataFrame, parts: int) -> list[tuple]:
+    """At most parts - 1 places that cut the rows into ranges of about equal size."""
+    total = placed.count() if parts > 1 else 0
+    if not total:
+        return []
+    found = sorted(tuple(r[0]) for r in placed.sample(min(1.0, SAMPLED * parts / total), seed=7).collect())
+    return sorted({found[len(found) * i // parts] for i in range(1, parts)}) if found else []
+
+
+def _range_of(place: Column, bounds: Column) -> Column:
+    """How many of the sorted bounds lie before a place, by bisection."""
+    n = F.size(bounds)
+
+    def step(s: Column, _: Column) -> Column:
+        middle = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        left = (s["lo"] < s["hi"]) & (F.get(bounds, middle) < place)
+        return F.struct(F.when(left, middle + 1).otherwise(s["lo"]).alias("lo"), F.when(left | (s["lo"] >= s["hi"]), s["hi"]).otherwise(middle).alias("hi"))
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(n + 1)).cast("int"))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), n.alias("hi")), step, lambda s: s["lo"])
+
+
 def with_next(df: DataFrame, id_col: str, carried: dict[str, Column], order: Column, parts: int | None = None) -> DataFrame:
-    """df with `next_<name>` columns: `carried` of the row that follows in descending order of id_col, then `order`.
+    """df with `next_<name>` columns: `carried` of the row that follows in descending order of id_col, then `order` (a long).
 
-    After the last row comes the first. Null ids come last.
+    After the last row comes the first. Null ids come last. Columns of df with these names are replaced.
     """
     spark = df.sparkSession
     parts = parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = df.agg(F.percentile_approx(id_col, [i / parts for i in range(1, parts)], 100 * parts)).first()[0] or [] if parts > 1 else []
-    bounds = sorted(set(bounds))
+    df = df.drop(*[f"next_{n}" for n in carried])
+    place, bounds, at, head, sends, copy = fresh_names(df, "place", "bounds", "at", "head", "sends", "copy")
+    kind = "struct<n:boolean,k:long,o:long>"
     key = F.col(id_col)
-    # range 0 holds the largest ids; nulls are beyond the smallest
-    rank = F.when(key.isNull(), F.lit(len(bounds) + 1)).otherwise(F.size(F.filter(F.array(*[F.lit(b) for b in bounds]).cast("array<long>"), lambda b: b > key)))
-    ranged = df.withColumn("__range", rank).withColumn("__order", order)
-    # the first row of each range: there are at most `parts` + 1 of them
-    down = F.coalesce(F.bitwise_not(key), F.lit(0).cast("long"))
-    least = ranged.groupBy("__range").agg(F.min(F.struct(down.alias("k"), F.col("__order").alias("o"))).alias("h"))
-    heads = sorted((r[0], r[1], r[2]) for r in least.select("__range", "h.k", "h.o").collect())
-    if not heads:
-        return df.withColumns({f"next_{n}": c for n, c in carried.items()})
-    first = {at: F.struct(F.lit(k).cast("long"), F.lit(o).cast("long")) for at, k, o in heads}
-    sends = F.create_map(*[F.lit(x) for i, (at, _, _) in enumerate(heads) for x in (at, heads[i - 1][0])])
-    head_of = F.create_map(*[x for at, h in first.items() for x in (F.lit(at), h)])
-    is_head = F.struct(down, F.col("__order")) == F.element_at(head_of, F.col("__range"))
-    # a head goes to its own range and, as its last row, to the range before
-    copies = F.when(is_head, F.array(F.struct(F.lit(False).alias("halo"), F.col("__range").alias("at")), F.struct(F.lit(True).alias("halo"), F.element_at(sends, F.col("__range")).alias("at")))).otherwise(F.array(F.struct(F.lit(False).alias("halo"), F.col("__range").alias("at"))))
-    dealt = ranged.withColumn("__copy", F.explode(copies)).select("*", F.col("__copy.at").alias("__at"), F.col("__copy.halo").alias("__halo")).drop("__copy")
-    w = Window.partitionBy("__at").orderBy(F.col("__halo"), F.col(id_col).desc_nulls_last(), F.col("__order"))
+    # rising places are falling ids, nulls last
+    placed = df.withColumn(place, F.struct(key.isNull().alias("n"), F.coalesce(F.bitwise_not(key), F.lit(0).cast("long")).alias("k"), order.alias("o")))
+    cuts = spark.createDataFrame([(_bounds(placed.select(place), parts),)], f"`{bounds}` array<{kind}>")
+    ranged = placed.crossJoin(F.broadcast(cuts)).withColumn(at, _range_of(F.col(place), F.col(bounds))).drop(bounds)
+    # the first row of each range: there are at most `parts` of them; each goes to the range before as well
+    first = sorted((r[0], tuple(r[1])) for r in ranged.groupBy(at).agg(F.min(place)).collect())
+    heads = spark.createDataFrame([(i, p, first[k - 1][0]) for k, (i, p) in enumerate(first)], f"`{at}` int, `{place}` {kind}, `{sends}` int")
+    marked = ranged.join(F.broadcast(heads), [at, place], "left")
+    mine, halo = (F.struct(F.lit(h).alias("halo"), F.col(c).alias("at")) for h, c in ((False, at), (True, sends)))
+    dealt = marked.withColumn(copy, F.explode(F.when(F.col(sends).isNull(), F.array(mine)).otherwise(F.array(mine, halo)))).withColumns({at: F.col(f"{copy}.at"), head: F.col(f"{copy}.halo")})
+    w = Window.partitionBy(at).orderBy(head, place)
     out = dealt.withColumns({f"next_{n}": F.lead(c).over(w) for n, c in carried.items()})
-    return out.where(~F.col("__halo")).drop("__range", "__order", "__at", "__halo")
+    return out.where(~F.col(head)).drop(place, at, head, sends, copy)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, shingle: int = SHINGLE) -> DataFrame:

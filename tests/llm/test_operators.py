@@ -393,14 +393,32 @@ def test_url_filter(spark):
     assert {r["verdict"] for r in urls.url_filter(pages, []).collect()} == {"allow"}
 
 
-def test_cascade_is_exact_for_its_universe(spark):
+def test_cascade_is_exact_for_its_universe(spark, monkeypatch):
     keys = [f"k{i}" for i in range(3000)]
     listed = keys[::3]
     universe = spark.createDataFrame([(k,) for k in keys], "key string")
     cascade = urls.Cascade.build(listed, universe)
-    assert len(cascade.levels) > 2
-    got = {r["key"] for r in universe.where(cascade.test(F.col("key"))).collect()}
-    assert got == set(listed)
+
+    def got(c):
+        filtered, names = c.attached(universe)
+        return {r["key"] for r in filtered.where(c.test(F.col("key"), names)).collect()}
+
+    assert got(cascade) == set(listed)
+    monkeypatch.setattr(urls, "LEAST_BITS", 64)
+    deep = [urls.Cascade.build(listed, universe), urls.Cascade.among(listed, sorted(set(keys) - set(listed)))]
+    assert all(len(c.levels) > 2 and got(c) == set(listed) for c in deep)
+
+
+def test_url_ties_and_many_rules(spark):
+    rules = [urls.Rule("net", "/ab", "block"), urls.Rule("x.net", "/", "allow"), urls.Rule("net", "/ab", "allow"), urls.Rule("org", "/", "watch")]
+    pages = spark.createDataFrame(list(enumerate(["http://x.net/ab", "http://y.net/abc", "http://org/", "http://com/"])), "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urls.url_filter(pages, rules).collect()}
+    assert got == {0: ("x.net/", "allow"), 1: ("net/ab", "block"), 2: ("org/", "watch"), 3: (None, "allow")}
+    many = rules + [urls.Rule(f"h{i}.com", "/", ["block", "allow"][i % 2]) for i in range(20_000)]
+    pages = spark.createDataFrame([(i, f"http://www.h{i}.com/p") for i in range(0, 40_000, 7)], "page_id long, url string")
+    found = urls.url_filter(pages, many)
+    assert len(found._jdf.queryExecution().optimizedPlan().toString()) < 40_000
+    assert all((r["rule"], r["verdict"]) == ((f"h{r['page_id']}.com/", ["block", "allow"][r["page_id"] % 2]) if r["page_id"] < 20_000 else (None, "allow")) for r in found.collect())
 
 
 # 8 -------------------------------------------------------------------------
@@ -441,8 +459,8 @@ def test_sentencepiece_columns(spark):
 
 
 def test_fingerprints(spark):
-    docs = [(d, t) for d, t in data.texts() if d != 64]
-    rows = {r["doc_id"]: r for r in fingerprints.edit_likeness(data.documents(spark, docs)).withColumns({"near": fingerprints.resemblance(F.col("sketch"), F.col("edited_sketch")), "next": fingerprints.resemblance(F.col("sketch"), F.col("next_sketch"))}).collect()}
+    docs = data.texts()
+    found = fingerprints.edit_likeness(data.documents(spark, docs)).withColumns({"near": fingerprints.resemblance(F.col("sketch"), F.col("edited_sketch")), "next": fingerprints.resemblance(F.col("sketch"), F.col("next_sketch"))}).collect()
     lower = str.maketrans(text.ASCII_UPPER, text.ASCII_LOWER)
 
     def shingles(t):
@@ -452,21 +470,33 @@ def test_fingerprints(spark):
     def likeness(a, b):
         return 1.0 if not a | b else len(a & b) / len(a | b)
 
-    order = sorted(((d, t or "") for d, t in docs), reverse=True)
+    # ids descend, rows of one id rise by the hash of their text
+    hashes = {r["t"]: r["h"] for r in spark.createDataFrame([(t or "",) for _, t in docs], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
+    order = sorted(((d, t or "") for d, t in docs), key=lambda x: (-x[0], hashes[x[1]]))
+    expected = []
     for i, (d, t) in enumerate(order):
         after = order[(i + 1) % len(order)][1]
         half = len(t) // 2
         edited = t[: len(t) - half] + after[:half]
-        r = rows[d]
-        if d == 63:
-            continue  # a repeated row: one of the two is followed by the other
-        assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        assert abs(r["near"] - likeness(shingles(t), shingles(edited))) < 0.16
-        assert abs(r["next"] - likeness(shingles(t), shingles(after))) < 0.16
+        expected.append((d, len(t), hashlib.sha256(edited.encode()).hexdigest(), likeness(shingles(t), shingles(edited)), likeness(shingles(t), shingles(after))))
+    got = [(r["doc_id"], r["n_chars"], r["edited_sha256"], r["near"], r["next"]) for r in found]
+    assert len(got) == len(docs) == len(expected)
+    for x, y in zip(sorted(got), sorted(expected), strict=True):
+        assert x[:3] == y[:3] and abs(x[3] - y[3]) < 0.16 and abs(x[4] - y[4]) < 0.16
+    rows = {r["doc_id"]: r for r in found}
     assert rows[7]["sketch"] == rows[31]["sketch"] and rows[1]["sketch"] == rows[2]["sketch"] == []
     assert fingerprints.edit_likeness(data.empty(spark)).count() == 0
     alone = fingerprints.edit_likeness(data.documents(spark, [(1, "a b c d e f")])).head()
-    assert alone["edited_sha256"] == hashlib.sha256(b"a b c da b c").hexdigest() or alone["n_chars"] == 11
+    assert alone["edited_sha256"] == hashlib.sha256(b"a b c a b c").hexdigest() and alone["n_chars"] == 11
+
+
+@pytest.mark.parametrize("parts", [1, 2, 7, 64])
+def test_next_rows(spark, parts):
+    rows = [(i * 7 % 50, i) for i in range(50)] + [(3, 100 + i) for i in range(40)] + [(None, 200 + i) for i in range(30)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "id long, o long, next_v long").withColumn("v", F.struct("id", "o"))
+    got = {(r["id"], r["o"]): tuple(r["next_v"]) for r in fingerprints.with_next(df, "id", {"v": F.col("v")}, F.col("o"), parts).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    assert got == dict(zip(order, [*order[1:], order[0]], strict=True))
 
 
 def test_sketches_merge(spark):
