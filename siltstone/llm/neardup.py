@@ -11,9 +11,10 @@ links come from alternating large-star and small-star.
 Buckets that still hold several components are settled exactly: a bucket's
 members go into packed rows of about BLOCK_BYTES, each row of members outside
 the bucket's main component meets each row of members, and within such a cell
-every pair of different components is compared, by signature and then on the
-full sets. Nothing is left out, however large the bucket, and only links leave
-a cell.
+every pair of different components is compared by signature; the members that
+pass are dealt out again with their full sets and compared on those. Nothing is
+left out, however large the bucket; of the first pass only members leave a
+cell, of the second only links.
 
 With 40 bands of 6 rows a pair at a similarity of exactly 0.8 shares no band
 with probability 5e-6; the signature test drops it with probability 1e-4 (it
@@ -45,6 +46,8 @@ from .text import ASCII_LOWER, ASCII_UPPER, IS_SPACE_WORD, Words, chunks, flat,
 BANDS, ROWS = 40, 6
 #: Bytes of signatures and sets that a packed row of a bucket holds.
 BLOCK_BYTES = 512 << 10
+#: Ids that are broadcast to pick texts by; more are joined by a shuffle.
+SENT = 1_000_000
 #: Shared shingles that a cell counts at once.
 COLUMNS = 4096
 _SHINGLE = 0xE7037ED1A0B428DB
@@ -196,15 +199,15 @@ def _shares(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 class _Packed:
-    """The members of one packed row."""
+    """The members of one packed row; their sets come in the second pass only."""
 
     def __init__(self, rows: list[dict]):
         self.node = [r["node"] for r in rows]
         self.comp = [r["comp"] for r in rows]
         self.outside = np.array([r["outside"] for r in rows])
+        self.size = np.array([r["size"] for r in rows])
         self.sig = np.frombuffer(b"".join(r["sig"] for r in rows), np.uint8).reshape(len(rows), BANDS * ROWS)
-        self.sets = [_unpacked(r["members"]) for r in rows]
-        self.size = np.array([len(x) for x in self.sets])
+        self.sets = [_unpacked(r["members"]) for r in rows if "members" in r]
 
 
 def _common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
@@ -226,35 +229,39 @@ def _common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     return np.rint(out).astype(np.int64)
 
 
-def _cell_links(ask: _Packed, met: _Packed, threshold: float, percent: int) -> Iterator[tuple[bytes, bytes]]:
-    """Links between different components, of a member's links to one component the first."""
+def _near(ask: _Packed, met: _Packed, threshold: float, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs of different components may be links by their sizes and signatures; and the numbers of met's components."""
     numbers: dict[bytes, int] = {}
     ca, cm = (np.array([numbers.setdefault(c, len(numbers)) for c in p.comp]) for p in (ask, met))
     na, nm = np.array(ask.node, object), np.array(met.node, object)
     # of two members outside, the smaller one asks
-    open_ = (ca[:, None] != cm[None, :]) & (~met.outside[None, :] | (na[:, None] < nm[None, :]).astype(bool))
-    small, large = np.minimum(ask.size[:, None], met.size[None, :]), np.maximum(ask.size[:, None], met.size[None, :])
-    open_ &= 100 * small >= percent * large
-    if not open_.any():
-        return
-    agree = np.zeros(open_.shape, np.int16)
-    for r in range(BANDS * ROWS):
-        agree += ask.sig[:, r, None] == met.sig[None, :, r]
-    open_ &= agree >= threshold * BANDS * ROWS
-    rows, cols = np.flatnonzero(open_.any(axis=1)), np.flatnonzero(open_.any(axis=0))
+    near = (ca[:, None] != cm[None, :]) & (~met.outside[None, :] | (na[:, None] < nm[None, :]).astype(bool))
+    near &= 100 * np.minimum(ask.size[:, None], met.size[None, :]) >= percent * np.maximum(ask.size[:, None], met.size[None, :])
+    rows, cols = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+    agree = np.zeros((len(rows), len(cols)), np.int16)
+    for x, y in zip(ask.sig[rows].T, met.sig[cols].T, strict=True):
+        agree += x[:, None] == y[None, :]
+    near[np.ix_(rows, cols)] &= agree >= threshold * BANDS * ROWS
+    return near, cm
+
+
+def _links(ask: _Packed, met: _Packed, threshold: float, percent: int) -> Iterator[tuple[bytes, bytes]]:
+    """Links between different components, of a member's links to one component the first."""
+    near, comp = _near(ask, met, threshold, percent)
+    rows, cols = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
     if not len(rows):
         return
     common = _common([ask.sets[i] for i in rows], [met.sets[j] for j in cols])
-    linked = open_[np.ix_(rows, cols)] & (100 * common >= percent * (ask.size[rows][:, None] + met.size[cols][None, :] - common))
+    linked = near[np.ix_(rows, cols)] & (100 * common >= percent * (ask.size[rows][:, None] + met.size[cols][None, :] - common))
     for i, row in zip(rows.tolist(), linked, strict=True):
         hit = cols[row]
-        _, once = np.unique(cm[hit], return_index=True)
+        _, once = np.unique(comp[hit], return_index=True)
         for j in hit[once].tolist():
             yield ask.node[i], met.node[j]
 
 
-def _cells(threshold: float, percent: int):
-    """Links of each cell (h, ri, cj): of the rows `ask` and `met`, which lie together."""
+def _cells(work):
+    """The pairs (a, b) that work(h, ask, met) gives for each cell (h, ri, cj): its rows `ask` and `met` lie together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, {}
@@ -265,13 +272,50 @@ def _cells(threshold: float, percent: int):
                     key, held = cell, {}
                 held[batch.column(3)[k].as_py()] = _Packed(batch.column(4)[k].as_py())
                 if len(held) == 2:
-                    found = list(_cell_links(held[True], held[False], threshold, percent))
+                    yield work(cell[0], held[True], held[False])
                     held = {}
-                    yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], names=["a", "b"])
 
     return run
 
 
+def _asking(threshold: float, percent: int):
+    """First pass: the members of a bucket that are in a pair which sizes and signatures allow."""
+
+    def work(h: int, ask: _Packed, met: _Packed) -> pa.RecordBatch:
+        near, _ = _near(ask, met, threshold, percent)
+        found = [ask.node[i] for i in np.flatnonzero(near.any(axis=1))] + [met.node[j] for j in np.flatnonzero(near.any(axis=0))]
+        return pa.RecordBatch.from_arrays([pa.array([h] * len(found), pa.int64()), pa.array(found, pa.binary())], names=["h", "node"])
+
+    return _cells(work)
+
+
+def _linking(threshold: float, percent: int):
+    """Second pass: the links of a cell, on full sets."""
+
+    def work(h: int, ask: _Packed, met: _Packed) -> pa.RecordBatch:
+        found = list(_links(ask, met, threshold, percent))
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+    return _cells(work)
+
+
+def _dealt_cells(rows: DataFrame, weight: Column, columns: list[str]) -> DataFrame:
+    """Each bucket's members in packed rows of about BLOCK_BYTES by weight; each row of members outside meets each row of members."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = rows.groupBy("h").agg(F.ceil(F.sum(weight) / BLOCK_BYTES).cast("int").alias("mb"), F.ceil(F.sum(F.when(F.col("outside"), weight)) / BLOCK_BYTES).cast("int").alias("rb"))
+    dealt = rows.join(blocks, "h")
+
+    def packed(part: DataFrame, salt: int, own: str, other: str, ask: bool) -> DataFrame:
+        block = F.pmod(F.xxhash64("node", F.lit(salt)), F.col(own)).cast("int").alias("block")
+        held = part.groupBy("h", block, other).agg(F.collect_list(F.struct(*columns)).alias("rows"))
+        each = held.select("h", "block", F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("at"), "rows")
+        ri, cj = ("block", "at") if ask else ("at", "block")
+        return each.select("h", F.col(ri).alias("ri"), F.col(cj).alias("cj"), F.lit(ask).alias("ask"), "rows")
+
+    cells = packed(dealt.where("outside"), 1, "rb", "mb", True).unionByName(packed(dealt, 2, "mb", "rb", False))
+    return cells.repartition(n, "h", "ri", "cj").sortWithinPartitions("h", "ri", "cj")
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """node, comp (its smallest reachable node) of every node on an edge.
 
@@ -304,26 +348,34 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
+def _sets_of(source: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """node, members: the full sets of some nodes, from their texts."""
+    ids = written(nodes.select(_doc_id(F.col("node")).alias("id")).distinct(), "ids")
+    sent = F.broadcast(ids) if ids.count() <= SENT else ids
+    rows = source.join(sent, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").dropDuplicates(["doc_id", "text"])
+    sets = written(rows.mapInArrow(_full_sets(shingle), "node binary, members binary"), "sets")
+    dropped(ids)
+    return sets
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     source = text_columns(docs, id_col, text_col)
     threshold = percent / 100 - 4 * (percent / 100 * (1 - percent / 100) / (BANDS * ROWS)) ** 0.5
     feats = written(source.mapInArrow(_features(shingle), "doc_id long, n_shingles long, low long, high long, bands array<long>, sig binary"), "minhash")
+    names = written(feats.select("doc_id", "n_shingles", "low", "high"), "names")
     # equal sets have equal bands and signatures, so any row stands for them
     groups = feats.where("n_shingles > 0").groupBy("low", "high").agg(F.min("doc_id").alias("least"), F.any_value("n_shingles").alias("size"), F.any_value("bands").alias("bands"), F.any_value("sig").alias("sig"))
     nodes = written(groups.select("low", "high", "size", "bands", "sig", _node(F.col("least"), F.col("low")).alias("node")), "nodes")
+    dropped(feats)
 
     # a bucket's rows travel by the short name of their sets; sets that share it by chance are only compared more often
     exploded = nodes.select("low", F.explode("bands").alias("h"))
     sizes = exploded.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    members = written(exploded.join(sizes, "h").join(nodes.select("low", "node"), "low").select("h", "node", "m"), "members")
-    shared = members.groupBy("node").agg(F.sum("m").alias("w"))
-    members = written(members.join(shared, "node").select("h", "node", "w"), "members")
-
-    sigs = nodes.select("node", "sig")
-    needed = members.select("node").distinct()
-    sets = written(source.join(needed.select(_doc_id(F.col("node")).alias("id")).distinct(), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").mapInArrow(_full_sets(shingle), "node binary, members binary").dropDuplicates(["node"]), "sets")
+    met = written(exploded.join(sizes, "h").join(nodes.select("low", "node"), "low").select("h", "node", "m"), "members")
+    shared = met.groupBy("node").agg(F.sum("m").alias("w"))
+    members = written(met.join(shared, "node").select("h", "node", "w"), "members")
+    dropped(met)
 
     def joined(pairs: DataFrame, values: DataFrame, col: str) -> DataFrame:
         x = values.select(F.col("node").alias("a"), F.col(col).alias("x"))
@@ -332,37 +384,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # the most shared member of each bucket meets the others
     centers = members.groupBy("h").agg(F.max(F.struct("w", "node")).alias("c")).select("h", F.col("c.node").alias("center"))
-    pairs = members.join(centers, "h").where("node <> center").select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")).distinct()
-    alike = joined(pairs, sigs, "sig").mapInArrow(_alike(threshold), "a binary, b binary")
+    pairs = members.join(centers, "h").where("node <> center").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct()
+    alike = written(joined(pairs, nodes, "sig").mapInArrow(_alike(threshold), "a binary, b binary"), "alike")
+    sets = _sets_of(source, alike.select(F.col("a").alias("node")).unionByName(alike.select(F.col("b").alias("node"))), shingle)
     comps = connected_components(joined(alike, sets, "members").mapInArrow(_confirm(percent), "a binary, b binary"))
+    dropped(alike, sets)
 
-    # what is still mixed: all pairs of a member outside the bucket's largest component with a member of another one
+    # buckets that are still mixed: all pairs of a member outside the largest component with a member of another one
     seen = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     several = seen.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h")
-    rows = seen.join(several, "h", "left_semi").join(nodes.select("node", "sig", (F.lit(BANDS * ROWS) + 6 * F.col("size")).alias("bytes")), "node")
-    rows = written(rows.select("h", "node", "comp", "bytes", "sig"), "mixed")
+    rows = written(seen.join(several, "h", "left_semi").select("h", "node", "comp"), "mixed")
     core = rows.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("h").agg(F.max(F.struct("k", "comp")).alias("c")).select("h", F.col("c.comp").alias("core"))
-    rows = rows.join(core, "h").withColumn("outside", F.col("comp") != F.col("core")).drop("core")
-    blocks = rows.groupBy("h").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("int").alias("mb"), F.ceil(F.sum(F.when(F.col("outside"), F.col("bytes"))) / BLOCK_BYTES).cast("int").alias("rb"))
-    dealt = rows.join(blocks, "h").join(sets, "node")
-    member = F.struct("node", "comp", "outside", "sig", "members")
-
-    def packed(part: DataFrame, salt: int, own: str, other: str, ask: bool) -> DataFrame:
-        """Packed rows, each sent to every packed row of the other kind."""
-        block = F.pmod(F.xxhash64("node", F.lit(salt)), F.col(own)).cast("int").alias("block")
-        rows = part.groupBy("h", block, other).agg(F.collect_list(member).alias("rows"))
-        each = rows.select("h", "block", F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("at"), "rows")
-        ri, cj = ("block", "at") if ask else ("at", "block")
-        return each.select("h", F.col(ri).alias("ri"), F.col(cj).alias("cj"), F.lit(ask).alias("ask"), "rows")
-
-    cells = packed(dealt.where("outside"), 1, "rb", "mb", True).unionByName(packed(dealt, 2, "mb", "rb", False))
-    last = cells.repartition(n, "h", "ri", "cj").sortWithinPartitions("h", "ri", "cj").mapInArrow(_cells(threshold, percent), "a binary, b binary")
-    every = connected_components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(last.distinct()))
+    rows = rows.join(core, "h").join(nodes.select("node", "size", "sig"), "node").select("h", "node", "comp", (F.col("comp") != F.col("core")).alias("outside"), "size", "sig")
+    columns = ["node", "comp", "outside", "size", "sig"]
+    asking = _dealt_cells(rows, F.lit(BANDS * ROWS), columns).mapInArrow(_asking(threshold, percent), "h long, node binary").distinct()
+    left = written(rows.join(asking, ["h", "node"], "left_semi"), "asking")
+    sets = _sets_of(source, left, shingle)
+    cells = _dealt_cells(left.join(sets, "node"), F.lit(BANDS * ROWS) + 6 * F.col("size"), [*columns, "members"])
+    more = cells.mapInArrow(_linking(threshold, percent), "a binary, b binary")
+    every = connected_components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more))
+    dropped(left, sets, members)
 
     labelled = nodes.select("low", "high", "node").join(every, "node", "left").select("low", "high", _doc_id(F.coalesce("comp", "node")).alias("comp"))
     return (
-        feats.select("doc_id", "n_shingles", "low", "high")
-        .join(labelled, ["low", "high"], "left")
+        names.join(labelled, ["low", "high"], "left")
         .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("comp")).otherwise(F.col("doc_id")).alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
