@@ -172,12 +172,16 @@ def signatures() -> list[Signature]:
         ("wtfpl", "what the fuck", r"you just do what the fuck you want to"),
         ("bsl-1.0", "boost", r"boost software license version 1 0 august 17th 2003"),
         ("mpl-2.0", "source code form", r"this source code form is subject to the terms of the mozilla public license v 2 0"),
-        ("all-rights-reserved", "all rights", r"all rights reserved"),
-        ("proprietary", "proprietary", r"(?:proprietary and confidential|confidential and proprietary)"),
-        ("no-commercial-use", "commercial use", r"(?:not for|no|non) commercial use"),
-        ("permission-required", "written permission", r"without (?:the )?(?:prior )?(?:express )?written permission"),
     ):
-        out.append(Signature(label, keyword, pattern, 0 if label[0] not in "np" and label != "all-rights-reserved" else 3, 1.0 if label != "all-rights-reserved" else 0.4))
+        out.append(Signature(label, keyword, pattern, 0, 1.0))
+    # Hints that no license is given.
+    for label, keyword, pattern, weight in (
+        ("all-rights-reserved", "all rights", r"all rights reserved", 0.4),
+        ("proprietary", "proprietary", r"(?:proprietary and confidential|confidential and proprietary)", 1.0),
+        ("no-commercial-use", "commercial use", r"(?:not for|no|non) commercial use", 1.0),
+        ("permission-required", "written permission", r"without (?:the )?(?:prior )?(?:express )?written permission", 1.0),
+    ):
+        out.append(Signature(label, keyword, pattern, 3, weight))
     return out
 
 

@@ -53,6 +53,14 @@ def test_stages(spark, folder):
         docs = out
 
 
+def test_pipeline_of_nothing(spark, tmp_path):
+    data.empty(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "one two")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = corpus_pipeline.run(spark, str(tmp_path))
+    assert found.count() == 0 and set(corpus_pipeline.COLUMNS) <= set(found.columns)
+
+
 def test_registry(spark):
     names = {n.split("_")[0] for n in QUERIES}
     assert names == {f"op{k}" for k in range(1, 11)} and set(SQL) <= set(QUERIES)
