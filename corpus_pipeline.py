@@ -2,7 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again as the next one's docs. All but the last return the
-columns of `documents`; `n_chars` follows the text where a stage changes it.
+columns of `documents` and drop any further ones; `n_chars` follows the text
+where a stage changes it. Null and empty texts are scored like texts without
+words, and stay null or empty if they are kept (the last stage gives them the
+empty text and no ids); rows without an id are kept by the near-duplicate
+stage; repeated rows lose all but one there; very long texts are worked on
+whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
