@@ -9,7 +9,7 @@ are committed and forgotten. Characters without a piece become byte pieces.
 Between two characters that no piece of the model holds side by side (a letter
 and the U+2581 after it, say) every path has a boundary; the segments between
 such places go through the decoder one by one, and what it gives for a short
-one is remembered. Decoding gives back every text (U+2581 itself comes back as
+one is remembered while it keeps coming. Decoding gives back every text (U+2581 itself comes back as
 a space).
 
 Scores are those of the file. Of a file trained by merges, they are ranks, and
@@ -23,6 +23,7 @@ like the results are replaced, others stay.
 
 from __future__ import annotations
 
+import math
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -37,7 +38,8 @@ from .text import chunks, flat
 from .tokenfiles import gather
 
 SPACE = "▁"
-REMEMBERED = 150_000
+#: Segments that a Python worker remembers in each of two generations.
+REMEMBERED = 200_000
 #: Text bytes encoded at once; the ids of a text take several times its bytes.
 PASS_BYTES = 1 << 20
 _models: dict[str, Pieces] = {}
@@ -65,6 +67,8 @@ class Pieces:
                 self.text[i] = piece.replace(SPACE, " ").encode()
         self.unknown = sp.unk_id()
         self.longest = max(map(len, self.scores))
+        #: The ends of all pieces; those that are no pieces themselves are never the best choice.
+        self.ends = {p[k:]: (-math.inf, -1) for p in self.scores for k in range(1, len(p))} | self.scores
         #: An unknown character costs more than any piece.
         self.penalty = min(s for s, _ in self.scores.values()) - 10.0
         # byte pairs that no piece holds: every path has a boundary between them
@@ -79,7 +83,8 @@ class Pieces:
         wide = [(a, b) for p in self.scores for a, b in zip(p, p[1:]) if ord(a) > 127 or ord(b) > 127]
         if not any(b == SPACE and a != SPACE for a, b in wide):
             self.cuts[128:, 0x20] = True
-        self.known: dict[bytes, bytes] = {}
+        #: Ids of segments: those met lately, and the generation before.
+        self.known: tuple[dict[bytes, bytes], dict[bytes, bytes]] = ({}, {})
         self.decoder = StreamingViterbi(self)
 
     @classmethod
@@ -121,17 +126,18 @@ class StreamingViterbi:
         return out
 
     def _extend(self, chars: str) -> None:
-        get, penalty, longest = self.pieces.scores.get, self.pieces.penalty, self.pieces.longest
+        get, penalty, longest = self.pieces.ends.get, self.pieces.penalty, self.pieces.longest
         score, size, ident = self.score, self.size, self.ident
         t, text = len(self.chars), self.chars + chars
         for t in range(t + 1, len(text) + 1):
             top, length, best = score[t - 1] + penalty, 1, -1
             for i in range(t - 1, t - longest - 1 if t > longest else -1, -1):
                 hit = get(text[i:t])
-                if hit is not None:
-                    s = score[i] + hit[0]
-                    if s >= top:
-                        top, length, best = s, t - i, hit[1]
+                if hit is None:  # nothing longer ends a piece either
+                    break
+                s = score[i] + hit[0]
+                if s >= top:
+                    top, length, best = s, t - i, hit[1]
             score.append(top)
             size.append(length)
             ident.append(best)
@@ -227,14 +233,16 @@ def encode_column(pieces: Pieces, column: pa.Array) -> tuple[np.ndarray, np.ndar
     """Ids of all documents, the number of each, and the prepared bytes."""
     data, values, counts = _segments(pieces, column)
     coded = values.dictionary_encode()
-    known, decoder = pieces.known, pieces.decoder
-    if len(known) > REMEMBERED:
-        known.clear()
+    if len(pieces.known[0]) > REMEMBERED:
+        pieces.known = ({}, pieces.known[0])
+    (known, older), decoder = pieces.known, pieces.decoder
     blobs = []
     for v in coded.dictionary.to_pylist():
         blob = known.get(v)
         if blob is None:
-            blob = array("i", decoder.feed(v.decode().replace(" ", SPACE)) + decoder.finish()).tobytes()
+            blob = older.get(v)
+            if blob is None:
+                blob = array("i", decoder.feed(v.decode().replace(" ", SPACE)) + decoder.finish()).tobytes()
             if len(v) < 200:
                 known[v] = blob
         blobs.append(blob)
